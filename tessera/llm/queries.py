@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing, quality, simhash, token_counts
+from tessera.llm import bpe, packing, quality, simhash, token_counts, warc
 from tessera.llm.common import table
 
 #: Folder of the public tokenizers' files; TESSERA_TOKENIZERS names another.
@@ -38,9 +38,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.capture_index(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "file", "offset")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op9_warc, op10_bpe)}
 SQL: dict[str, str] = {}

@@ -28,7 +28,7 @@ def sha1_base32(text: pa.Array) -> pa.Array:
     return pa.array([base64.b32encode(hashlib.sha1(x or b"").digest()).decode() for x in raw])
 
 
-def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", html: str = "html", records: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", html: str = "html", records: int = 1000) -> None:
     """Writes a WARC 1.1 record for each row of pages, as text files of up to `records` records below path.
 
     A payload is the html in UTF-8, null as empty. Of equal payloads, those with the smallest page id are responses,
@@ -135,8 +135,7 @@ def read_index(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=_index_schema()).select(names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    spark_files = files.repartition(max(1, min(2000, files.select("path").count())))
-    return spark_files.mapInArrow(indexed, _INDEX)
+    return files.mapInArrow(indexed, _INDEX)
 
 
 def _index_schema() -> pa.Schema:
