@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing, quality, simhash, token_counts, warc
+from tessera.llm import bpe, media, packing, quality, simhash, token_counts, warc
 from tessera.llm.common import table
 
 #: Folder of the public tokenizers' files; TESSERA_TOKENIZERS names another.
@@ -25,6 +25,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -47,5 +51,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op9_warc, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_media, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op9_warc, op10_bpe)}
 SQL: dict[str, str] = {}
