@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, media, packing, quality, simhash, token_counts, warc
+from tessera.llm import bpe, media, packing, preferences, quality, simhash, token_counts, warc
 from tessera.llm.common import table
 
 #: Folder of the public tokenizers' files; TESSERA_TOKENIZERS names another.
@@ -42,6 +42,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.preference_segments(preferences.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.capture_index(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "file", "offset")
@@ -51,5 +55,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_media, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op9_warc, op10_bpe)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_media, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op8_preferences, op9_warc, op10_bpe)}
+SQL: dict[str, str] = {
+    "op8_preferences": """
+WITH t AS (
+  SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'body': coalesce(text, '')}) AS r
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+last AS (
+  SELECT pair_id, max(turn) AS last_turn, arg_max(r.body, turn) AS reply FROM t WHERE r.role = 'assistant' GROUP BY 1),
+swap AS (
+  SELECT a.pair_id, a.last_turn, b.reply AS other FROM last a JOIN last b ON b.pair_id = xor(a.pair_id, 1)),
+sides AS (
+  SELECT t.pair_id, t.turn, t.r.role AS role, t.r.body AS body,
+         CASE WHEN t.turn = s.last_turn THEN s.other ELSE t.r.body END AS other
+  FROM t LEFT JOIN swap s ON s.pair_id = t.pair_id),
+first AS (SELECT pair_id, min(turn) FILTER (WHERE body <> other) AS f FROM sides GROUP BY 1),
+seg AS (
+  SELECT b.pair_id, 'prompt' AS part, turn, role, body FROM sides b JOIN first USING (pair_id) WHERE f IS NULL OR turn < f
+  UNION ALL SELECT b.pair_id, 'chosen', turn, role, body FROM sides b JOIN first USING (pair_id) WHERE turn >= f
+  UNION ALL SELECT b.pair_id, 'rejected', turn, role, other FROM sides b JOIN first USING (pair_id) WHERE turn >= f)
+SELECT pair_id, part, turn AS seq, role,
+       '<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10) AS text,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN CAST(13 + length(role) AS BIGINT) END AS learn_from,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN CAST(23 + length(role) + length(body) AS BIGINT) END AS learn_to
+FROM seg
+""",
+}
