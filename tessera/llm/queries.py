@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, media, packing, preferences, quality, simhash, token_counts, warc
+from tessera.llm import bpe, media, packing, passages, preferences, quality, simhash, token_counts, warc
 from tessera.llm.common import table
 
 #: Folder of the public tokenizers' files; TESSERA_TOKENIZERS names another.
@@ -42,6 +42,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.preference_segments(preferences.swapped_replies(table(spark, sf_dir, "conversations")))
 
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_media, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op8_preferences, op9_warc, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_media, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_suffix_array, op8_preferences, op9_warc, op10_bpe)}
 SQL: dict[str, str] = {
     "op8_preferences": """
 WITH t AS (

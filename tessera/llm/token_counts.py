@@ -7,26 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import pretokens
 from tessera.llm.common import pieces, stored
 
-_BLOCK = (
-    "block long, keys binary, n_bytes binary, doc_starts binary, doc_units binary, doc_freqs binary,"
-    " unit_starts binary, unit_tokens binary, vocabulary array<string>"
-)
+#: A block's documents and their frequencies, its units and their pre-tokens (arrays, compressed), and its vocabulary.
+_BLOCK = "block long, keys binary, docs binary, units binary, vocabulary array<string>"
+#: Text of a block, and bits of a slot (block and place in its vocabulary) that are the place.
+BLOCK_BYTES, PLACE = 32 << 20, 24
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Tokens of every text, as the tokenizer file at `path` splits it.
 
-    Documents are read once, in blocks of up to 16 MB: a block holds, for each document, the frequencies of its
+    Documents are read once, in blocks of about 32 MB: a block holds, for each document, the frequencies of its
     units, and for each distinct unit its pre-tokens, as numbers into the block's own vocabulary. The vocabularies
-    meet in one table of distinct pre-tokens, whose pieces are counted once; the counts go back to the blocks by a
-    join on the pre-token (one row for each block and pre-token, so a word that is everywhere comes once a block,
-    and Spark splits its partition if that is large), and each block sums frequency times count by document.
+    are dealt out by pre-token (a word that is everywhere comes once a block, however often it is used), so each distinct
+    pre-token is in one task, which counts its pieces once. The counts return to their blocks in arrays, and each block
+    sums frequency times count by document. No token ids are kept.
 
     Returns key, n_bytes, n_tokens, over_limit. Null texts count as empty: no bytes, no tokens. Rows are kept as they
     are: repeated rows give repeated results, null ids stay null; other columns are ignored.
@@ -36,31 +37,61 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 32
-        for batch, texts in pieces(batches, text, 16 << 20):
-            yield _block(number, batch.column(0).cast(pa.int64()), texts, path)
-            number += 1
-
-    block = stored(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias(text)).mapInArrow(blocks, _BLOCK))
-    used = block.select(F.col("block").alias("of"), F.posexplode("vocabulary").alias("place", "token"))
+        number = (task.partitionId() if task else 0) << 12
+        block = _Block(path)
+        for batch, texts in pieces(batches, text):
+            block.add(batch.column(0), texts)
+            if block.size >= BLOCK_BYTES:
+                yield block.row(number)
+                number, block = number + 1, _Block(path)
+        if block.keys:
+            yield block.row(number)
+
+    stored_blocks = stored(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias(text)).mapInArrow(blocks, _BLOCK))
+    slot = F.shiftleft("block", PLACE).bitwiseOR(F.col("place").cast("long"))
+    used = stored_blocks.select("block", F.posexplode("vocabulary").alias("place", "token")).select("token", slot.alias("slot"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = pretokens.tokenizer(path)
         encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        known: dict[str, int] = {}
+        slots, counts = [], []
         for batch in batches:
-            n = [len(x.ids) for x in encode(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["token", "n"])
-
-    counts = used.select("token").distinct().mapInArrow(counted, "token string, n int")
-    found = used.join(counts, "token").select("of", "place", "n")
+            tokens = batch.column(0).dictionary_encode()
+            names = tokens.dictionary.to_pylist()
+            new = [x for x in names if x not in known]
+            known.update(zip(new, (len(x.ids) for x in encode(new, add_special_tokens=False))))
+            of = np.fromiter(map(known.__getitem__, names), np.int32, len(names))
+            slots.append(batch.column(1).to_numpy())
+            counts.append(of[tokens.indices.to_numpy()])
+        if not slots:
+            return
+        slot, count = np.concatenate(slots), np.concatenate(counts)
+        order = np.argsort(slot)
+        slot, count = slot[order], count[order]
+        block = slot >> PLACE
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist()
+        places = (slot & ((1 << PLACE) - 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(block[edges[:-1]]),
+                pa.array([places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
+                pa.array([count[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
+            ],
+            ["of", "places", "counts"],
+        )
+
+    found = used.repartition("token").mapInArrow(counted, "of long, places binary, counts binary")
 
     def summed(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces_of = np.zeros(right.num_rows, np.int64)
-        pieces_of[right.column("place").to_numpy()] = right.column("n").to_numpy()
+        places = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in right.column("places").to_pylist())])
+        counts = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in right.column("counts").to_pylist())])
+        pieces_of = np.zeros(len(places), np.int64)
+        pieces_of[places] = counts
         return pa.concat_tables([_totals(row, pieces_of, limit) for row in left.to_pylist()])
 
     out = (
-        block.drop("vocabulary")
+        stored_blocks.drop("vocabulary")
         .groupBy("block")
         .cogroup(found.groupBy("of"))
         .applyInArrow(summed, "key long, n_bytes long, n_tokens long, over_limit boolean")
@@ -68,57 +99,90 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     return out.withColumnRenamed("key", key)
 
 
-def _raw(values: list[int], kind: type) -> bytes:
-    return np.array(values, kind).tobytes()
-
-
-def _block(number: int, keys: pa.Array, texts: list[bytes], path: str) -> pa.RecordBatch:
-    units: dict[str, int] = {}
-    tokens: dict[str, int] = {}
-    unit_starts, unit_tokens, doc_starts, doc_units, doc_freqs = [0], [], [0], [], []
-    for raw in texts:
-        whole = raw.decode()
-        if pretokens.plain(whole, path):
-            counter = Counter(pretokens.UNITS(whole))
-        else:
-            stretches, specials = pretokens.between_specials(whole, path)
-            counter = Counter(x for s in stretches if s for x in pretokens.library_pretokens(s, path))
-            counter.update(specials)
-        for unit, n in counter.items():
-            at = units.get(unit)
-            if at is None:
-                at = units[unit] = len(units)
+class _Block:
+    def __init__(self, path: str):
+        self.path, self.size = path, 0
+        self.units: dict[str, int] = {}
+        self.tokens: dict[str, int] = {}
+        self.keys: list[int | None] = []
+        self.n_bytes: list[int] = []
+        self.doc_units: list[np.ndarray] = []
+        self.doc_freqs: list[np.ndarray] = []
+        self.unit_lengths: list[int] = []
+        self.unit_tokens: list[int] = []
+
+    def add(self, keys: pa.Array, texts: list[bytes]) -> None:
+        units, tokens, path = self.units, self.tokens, self.path
+        for raw in texts:
+            whole = raw.decode()
+            if pretokens.plain(whole, path):
+                counter = Counter(pretokens.UNITS(whole))
+            else:
+                stretches, specials = pretokens.between_specials(whole, path)
+                counter = Counter(x for s in stretches if s for x in pretokens.library_pretokens(s, path))
+                counter.update(specials)
+            for unit in counter.keys() - units.keys():
+                units[unit] = len(units)
                 split = [unit] if unit in pretokens.special_strings(path) else pretokens.library_pretokens(unit, path)
-                unit_tokens.extend([tokens.setdefault(x, len(tokens)) for x in split])
-                unit_starts.append(len(unit_tokens))
-            doc_units.append(at)
-            doc_freqs.append(n)
-        doc_starts.append(len(doc_units))
-    filled = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    kept = np.concatenate([filled, keys.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)])
-    columns = [
-        pa.array([number], pa.int64()),
-        *(pa.array([x], pa.binary()) for x in (kept.tobytes(), _raw([len(x) for x in texts], np.int64))),
-        *(pa.array([_raw(x, np.int32)], pa.binary()) for x in (doc_starts, doc_units, doc_freqs, unit_starts, unit_tokens)),
-        pa.array([list(tokens)], pa.list_(pa.string())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _BLOCK.split(", ")])
-
-
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+                self.unit_tokens.extend([tokens.setdefault(x, len(tokens)) for x in split])
+                self.unit_lengths.append(len(split))
+            n = len(counter)
+            at = np.fromiter(map(units.__getitem__, counter), np.int32, n)
+            order = np.argsort(at)
+            self.doc_units.append(at[order])
+            self.doc_freqs.append(np.fromiter(counter.values(), np.int32, n)[order])
+            self.size += len(raw)
+        self.keys += keys.to_pylist()
+        self.n_bytes += map(len, texts)
+
+    def row(self, number: int) -> pa.RecordBatch:
+        filled = [[0 if k is None else k for k in self.keys], [k is not None for k in self.keys], self.n_bytes]
+        lengths = [len(x) for x in self.doc_units]
+        steps = [np.diff(x, prepend=x[:1] * 0) for x in self.doc_units]
+        packed = [
+            _packed(*(np.array(x, np.int64) for x in filled)),
+            _packed(np.array(lengths, np.int32), np.concatenate(steps), np.concatenate(self.doc_freqs)),
+            _packed(np.array(self.unit_lengths, np.int32), np.array(self.unit_tokens, np.int32)),
+        ]
+        columns = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([list(self.tokens)], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _BLOCK.split(", ")])
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one type, compressed byte plane by byte plane, after a line of their lengths."""
+    one = np.concatenate(arrays)
+    sizes = ",".join([str(one.dtype.itemsize), *(str(len(x)) for x in arrays)]).encode()
+    turned = np.ascontiguousarray(one.view(np.uint8).reshape(len(one), -1).T)
+    return sizes + b"\n" + zstandard.ZstdCompressor(3).compress(turned.tobytes())
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    sizes, data = raw.split(b"\n", 1)
+    width, *lengths = map(int, sizes.split(b","))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    one = np.ascontiguousarray(planes.T).view(np.int64 if width == 8 else np.int32).ravel()
+    return np.split(one, np.cumsum(lengths)[:-1])
+
+
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
-    return total[starts[1:]] - total[starts[:-1]]
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
 
 
 def _totals(row: dict, pieces_of: np.ndarray, limit: int) -> pa.Table:
-    of = {k: np.frombuffer(v, np.int64 if k in ("keys", "n_bytes") else np.int32) for k, v in row.items() if k != "block"}
-    per_unit = _sums(pieces_of[of["unit_tokens"]], of["unit_starts"])
-    per_doc = _sums(per_unit[of["doc_units"]] * of["doc_freqs"], of["doc_starts"])
-    keys, valid = np.split(of["keys"], 2)
+    keys, valid, n_bytes = _unpacked(row["keys"])
+    lengths, steps, freqs = _unpacked(row["docs"])
+    unit_lengths, unit_tokens = _unpacked(row["units"])
+    per_unit = _sums(pieces_of[unit_tokens], unit_lengths)
+    at = np.cumsum(steps, dtype=np.int64)
+    ends = np.cumsum(lengths)
+    before = np.concatenate([[0], at])[ends - lengths]
+    per_doc = _sums(per_unit[at - np.repeat(before, lengths)] * freqs, lengths)
     return pa.table(
         {
             "key": pa.array(keys, pa.int64(), mask=valid == 0),
-            "n_bytes": pa.array(of["n_bytes"]),
+            "n_bytes": pa.array(n_bytes),
             "n_tokens": pa.array(per_doc, pa.int64()),
             "over_limit": pa.array(per_doc > limit),
         }
