@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, media, packing, passages, preferences, quality, simhash, token_counts, warc
+from tessera.llm import bpe, media, packing, paragraphs, passages, preferences, quality, simhash, token_counts, warc
 from tessera.llm.common import table
 
 #: Folder of the public tokenizers' files; TESSERA_TOKENIZERS names another.
@@ -21,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_media, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_suffix_array, op8_preferences, op9_warc, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_paragraphs, op2_simhash, op3_media, op4_best_fit_packing, op5_quality_rules, op6_token_counts, op7_suffix_array, op8_preferences, op9_warc, op10_bpe)}
 SQL: dict[str, str] = {
     "op8_preferences": """
 WITH t AS (
