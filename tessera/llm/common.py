@@ -52,6 +52,11 @@ def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def text_tie(column: str) -> Column:
+    """XXH64 (seed 42) of a text, null as empty, to tell apart documents of one id."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows with about `most` bytes of text at most (one row at least), and their texts in UTF-8; null is empty."""
     for batch in batches:

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_key, pieces, stored
+from tessera.llm.common import id_key, pieces, stored, text_tie
 from tessera.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 #: Bytes of the strings that are compared, and of the grams of which each string's least is its anchor.
@@ -131,7 +131,8 @@ class _Docs:
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, spans (array of begin and end: the maximal removed runs of bytes) and kept (binary) of every row.
+    """key, tie (XXH64 of the text), n_bytes, spans (array of begin and end: the maximal removed runs of bytes) and kept
+    (binary) of every row.
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a document of a smaller id, or earlier
     in the same one. Strings are judged on the input; they never cross documents. Null texts are empty; null
@@ -157,11 +158,16 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     shared = found.where(F.col("context").isNotNull()).repartition("hash", "pair").sortWithinPartitions("hash", "pair")
     spans = shared.mapInArrow(_matched, "block long, doc long, tie long, lo long, size long").unionByName(local)
     spans = spans.withColumnRenamed("block", "of")
-    schema = "key long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
+    schema = "key long, tie long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
     out = blocks.groupBy("block").cogroup(spans.groupBy("of")).applyInArrow(_cut, schema)
     return out.withColumnRenamed("key", key)
 
 
+def signed(x: int) -> int:
+    """A 64-bit number as Spark's long."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _blocked(text: str):
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -177,7 +183,7 @@ def _blocked(text: str):
 
         for batch, found in pieces(batches, text):
             for k, raw in zip(batch.column(0).to_pylist(), found):
-                keys.append((k, xxhash.xxh64_intdigest(raw) - 2**63, len(raw)))
+                keys.append((k, signed(xxhash.xxh64_intdigest(raw, 42)), len(raw)))
                 texts.append(raw)
                 size += len(raw)
             if size >= BLOCK_BYTES:
@@ -356,11 +362,11 @@ def _cut(_, blocks: pa.Table, spans: pa.Table) -> pa.Table:
                 kept.append(raw[at:a])
                 at = b
             kept.append(raw[at:])
-            out.append((None if d == 2**63 - 1 else d, n, [{"begin": a, "end": b} for a, b in removed], b"".join(kept)))
+            out.append((None if d == 2**63 - 1 else d, t, n, [{"begin": a, "end": b} for a, b in removed], b"".join(kept)))
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    columns = zip(*out) if out else ([],) * 4
-    kinds = (pa.int64(), pa.int64(), span, pa.binary())
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["key", "n_bytes", "spans", "kept"])
+    columns = zip(*out) if out else ([],) * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), span, pa.binary())
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["key", "tie", "n_bytes", "spans", "kept"])
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -384,3 +390,22 @@ def passage_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def without_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str = "n_chars") -> DataFrame:
+    """The rows of docs, all columns, with repeated passages cut from their texts and, where there is such a column,
+    their lengths in characters anew. A character that a cut goes through is cut as a whole."""
+    kept = repeated_passages(docs, text, key).select(
+        F.coalesce(F.col(key), F.lit(2**63 - 1)).alias("_key"), F.col("tie").alias("_tie"), "kept"
+    )
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts], ["_key", "_tie", "_kept"])
+
+    texts = kept.mapInArrow(decoded, "_key long, _tie long, _kept string").dropDuplicates(["_key", "_tie"])
+    rest = docs.withColumn("_id", id_key(key)).withColumn("_hash", text_tie(text)).drop(text)
+    joined = rest.join(texts, (F.col("_id") == F.col("_key")) & (F.col("_hash") == F.col("_tie")))
+    new = {text: F.col("_kept"), length: F.length("_kept").cast(dict(docs.dtypes).get(length, "long"))}
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

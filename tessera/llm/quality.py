@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, stored
+from tessera.llm.common import pieces, stored, widened
 
 _BASE = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 #: Bytes that part words: space and 9 to 13. No longer UTF-8 sequence has them.
 _SPACES = b" \t\n\x0b\x0c\r"
-_SYMBOLS = b"#*$%&|<>"
+_SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
 
@@ -58,9 +58,9 @@ def text_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", host: s
             for raw in texts:
                 words = raw.split()
                 inside = len(raw.translate(None, _CONTINUATION + _SPACES))
-                symbols = sum(raw.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))
+                symbols = sum(raw.count(c) for c in _SYMBOLS)
                 again = repeated_words(words)
-                failed = len(words) < 20 or 100 * again > 30 * len(words)
+                failed = fails(len(words), again)
                 rows.append((len(words), inside, symbols, repeated_lines(raw), again, failed))
             columns = list(zip(*rows))
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5])]
@@ -107,3 +107,24 @@ def judged(docs: DataFrame, most: float = 0.9, text: str = "text", key: str = "d
     bad = host_verdicts(rules, most).where("rejected").select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
     joined = rules.join(bad, F.col("host").eqNullSafe(F.col("_host")), "left_outer")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
+
+
+def good_documents(docs: DataFrame, most: float = 0.9, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
+    """The rows of docs, all columns, that judged() keeps. Texts are read twice rather than stored or shuffled."""
+    bad = host_verdicts(text_rules(docs, text, key, host), most).where("rejected").select(F.col("host").alias("_host"))
+    schema = widened(docs.schema, _failed="boolean")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, text):
+            failed = []
+            for raw in texts:
+                words = raw.split()
+                failed.append(fails(len(words), repeated_words(words)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed, pa.bool_())], [*batch.schema.names, "_failed"])
+
+    passed = docs.mapInArrow(marked, schema).where("NOT _failed").drop("_failed")
+    return passed.join(bad, F.col(host).cast("string").eqNullSafe(F.col("_host")), "left_anti")
+
+
+def fails(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 20 or 100 * n_repeat_words > 30 * n_words

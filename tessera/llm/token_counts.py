@@ -87,7 +87,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
         places = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in right.column("places").to_pylist())])
         counts = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in right.column("counts").to_pylist())])
         pieces_of = np.zeros(len(places), np.int64)
-        pieces_of[places] = counts
+        pieces_of[places] = counts  # each place of the vocabulary occurs once
         return pa.concat_tables([_totals(row, pieces_of, limit) for row in left.to_pylist()])
 
     out = (
@@ -152,7 +152,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays of one type, compressed byte plane by byte plane, after a line of their lengths."""
     one = np.concatenate(arrays)
     sizes = ",".join([str(one.dtype.itemsize), *(str(len(x)) for x in arrays)]).encode()
-    turned = np.ascontiguousarray(one.view(np.uint8).reshape(len(one), -1).T)
+    turned = np.ascontiguousarray(one.view(np.uint8).reshape(len(one), one.dtype.itemsize).T)
     return sizes + b"\n" + zstandard.ZstdCompressor(3).compress(turned.tobytes())
 
 

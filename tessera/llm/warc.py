@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -35,7 +36,8 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
     and all others revisits that name it (repeated rows of that id are responses as well; null ids come last and are
     named by none). A record's date is its page id in seconds after 2020, unless pages has a column captured_at.
     Spark's text writer makes the files, each line a record that ends as WARC records do: tasks commit whole files, in
-    any file system that Spark writes to. Digests are pre-aggregated before they are shuffled; payloads of revisits are
+    any file system that Spark writes to. Files are compressed by gzip as a whole; offsets in the index are those of the
+    uncompressed archive. Digests are pre-aggregated before they are shuffled; payloads of revisits are
     not written.
     """
     date = F.col("captured_at").cast("timestamp") if "captured_at" in pages.columns else F.timestamp_seconds(F.col(page) + 1_577_836_800)
@@ -59,6 +61,7 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
         .mapInArrow(rendered, "value string")
         .write.option("lineSep", _END)
         .option("maxRecordsPerFile", records)
+        .option("compression", "gzip")
         .text(path)
     )
 
@@ -130,11 +133,11 @@ def read_index(spark, path: str) -> DataFrame:
         names = [x.strip().split(" ")[0] for x in _INDEX.split(",")]
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
-                rows = [_index_row(file.as_py(), *x) for x in records_of(content.as_py())]
+                rows = [_index_row(file.as_py(), *x) for x in records_of(gzip.decompress(content.as_py()))]
                 rows.sort(key=_order)
                 yield pa.RecordBatch.from_pylist(rows, schema=_index_schema()).select(names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
     return files.mapInArrow(indexed, _INDEX)
 
 
