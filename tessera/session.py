@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -24,3 +24,11 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, root))
     context.addPyFile(archive)
     context._tessera_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once into the checkpoint folder, so that later plans read the same rows in the same partitions."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
