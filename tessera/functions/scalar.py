@@ -20,8 +20,9 @@ def wrapped(x: Column, bits: int) -> Column:
     """A whole number (bigint or decimal) brought into the range of so many bits as two's complement does."""
     if bits == 32:
         return (F.pmod(x.cast("long") + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)).cast("int")
-    wide, half = "decimal(38,0)", F.lit(2**63).cast("decimal(38,0)")
-    return (F.pmod(x.cast(wide) + half, F.lit(2**64).cast(wide)) - half).cast("long")
+    wide = "decimal(38,0)"
+    half, whole = F.lit(str(2**63)).cast(wide), F.lit(str(2**64)).cast(wide)
+    return (F.pmod(x.cast(wide) + half, whole) - half).cast("long")
 
 
 def int_op(op: str, a, b, bits: int = 32) -> Column:

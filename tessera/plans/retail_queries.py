@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import patterns
 from tessera.functions import scalar as S
-from tessera.operators import changes, dml, setops
+from tessera.operators import dml, setops
 from tessera.plans import query as q
 from tessera.plans.entity import Catalog, FindBy
 from tessera.plans.retail import retail, tables
@@ -402,8 +401,6 @@ def _(lineitem):
     "lineitem",
 )
 def _(lineitem):
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("parent").orderBy("child")).cast("long")
     old, new = (x.withColumn("pos", place) for x in _lists(lineitem))
     return setops.ordered_changes(old, new, "parent", "pos", "child")
