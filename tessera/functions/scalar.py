@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _c(x) -> Column:
@@ -233,7 +234,7 @@ def ellipsis(s: Column, most: int, whole_words: bool = False) -> Column:
     return F.when(s.isNull() | (F.length(s) <= most), s).otherwise(F.concat(F.substring(s, F.lit(1), end.cast("int")), F.lit("...")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def insert_linebreaks(s: pd.Series, width: pd.Series) -> pd.Series:
     """Line breaks in place of spaces, so that lines have `width` characters at most where words allow it."""
 
