@@ -116,8 +116,8 @@ def write_avi(payload: bytes) -> bytes:
     the file's INFO list.
     """
     lines = len(payload) // LINE
-    height = min(lines, HEIGHT)
-    count = -(-lines // height)
+    count = -(-lines // HEIGHT)
+    height = -(-lines // count)
     pixels = np.zeros(count * height * LINE, np.uint8)
     pixels[: len(payload)] = np.frombuffer(payload, np.uint8)
     frames = encode_frames(pixels.reshape(count, height, WIDTH, 3))
@@ -177,22 +177,21 @@ def read_avi(file: bytes) -> tuple[np.ndarray, int, int]:
 
 def shots(pixels: np.ndarray, microseconds: int, window: int = 8, factor: float = 3.0, least: float = 0.08) -> list[dict]:
     """Clips between cuts. The difference of two frames is half the L1 distance of their 32-bin luma histograms; a cut
-    is a difference over `least` that exceeds the mean of the `window` differences before it by `factor` of their
-    standard deviations (the first difference needs `least` alone)."""
+    is a difference over `least` that exceeds the median of the `window` differences before it by `factor` of their
+    median deviations, which a cut among them hardly moves (the first difference needs `least` alone)."""
     n = len(pixels)
     weighted = pixels.reshape(n, -1, 3).astype(np.uint16) @ np.array([77, 150, 29], np.uint16)
     bins = (weighted >> 11).astype(np.int64) + 32 * np.arange(n)[:, None]
     histogram = np.bincount(bins.ravel(), minlength=32 * n).reshape(n, 32) / weighted.shape[1]
     luma = histogram @ (np.arange(32) * 8 + 4.0)
     change = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / 2
-    total = np.concatenate([[0], np.cumsum(change)])
-    square = np.concatenate([[0], np.cumsum(change**2)])
-    at = np.arange(n - 1)
-    begin = np.maximum(0, at - window)
-    count = np.maximum(at - begin, 1)
-    mean = (total[at] - total[begin]) / count
-    spread = np.sqrt(np.maximum((square[at] - square[begin]) / count - mean**2, 0))
-    cuts = np.flatnonzero((change > least) & ((at == 0) | (change > mean + factor * spread))) + 1
+    if n > 1:
+        before = np.sort(np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(window, change[0]), change[:-1]]), window), axis=1)
+        middle = (before[:, (window - 1) // 2] + before[:, window // 2]) / 2
+        spread = np.sort(np.abs(before - middle[:, None]), axis=1)[:, window // 2]
+        cuts = np.flatnonzero((change > least) & ((np.arange(n - 1) == 0) | (change > middle + factor * spread))) + 1
+    else:
+        cuts = np.zeros(0, np.int64)
     edges = [0, *cuts.tolist(), n]
     return [
         {
