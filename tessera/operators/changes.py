@@ -84,6 +84,21 @@ def crosses(mode: Column, from_server: bool, shared: Column | None = None) -> Co
     return (mode == "Enabled") | (mode == one_way) | ((mode == "Automatic") & shared)
 
 
+#: States of the sync machine, and those in which changes are recorded.
+STATES = ("RecordingChanges", "Initializing", "InitializingLocal", "ApplyingChanges", "Disabled", "CopyingPrevious")
+RECORDED = ("RecordingChanges",)
+
+
+def recorded(log: DataFrame, state: str = "state") -> DataFrame:
+    """Changes that were made in a state in which they are recorded: not while the other side's are applied or sync is off."""
+    return log.where(F.col(state).isin(*RECORDED))
+
+
+def type_counts(log: DataFrame, column: str = "type") -> DataFrame:
+    """The number of distinct objects of each type."""
+    return log.groupBy(column).agg(F.countDistinct("obj").alias("n"))
+
+
 def of_types(log: DataFrame, types: DataFrame, column: str = "type") -> DataFrame:
     """Changes of the listed types."""
     return log.join(types.select(column).distinct(), column, "left_semi")

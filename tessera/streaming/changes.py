@@ -38,6 +38,28 @@ def latest_values(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return log.groupBy("obj", "prop").applyInPandasWithState(step, _OUT, "val double, seq long, n long", "update", timeout)
 
 
+def list_events(log: DataFrame) -> DataFrame:
+    """A list kept for each object on a stream of (obj, op, item: string, seq: long), op being add, remove or clear, which
+    emits an event whenever the list changes: obj, size, items (joined by commas)."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        items = [x for x in state.get[0].split("\x1f") if x] if state.exists else []
+        before = list(items)
+        for pdf in batches:
+            for op, item in pdf.sort_values("seq")[["op", "item"]].itertuples(index=False):
+                if op == "clear":
+                    items = []
+                elif op == "add":
+                    items.append(item)
+                elif item in items:
+                    items.remove(item)
+        state.update(("\x1f".join(items),))
+        if items != before:
+            yield pd.DataFrame([(key[0], len(items), ",".join(items))], columns=["obj", "size", "items"])
+
+    return log.groupBy("obj").applyInPandasWithState(step, "obj long, size long, items string", "items string", "update", GroupStateTimeout.NoTimeout)
+
+
 def deduped(log: DataFrame, event_time: str, delay: str, keys: list[str]) -> DataFrame:
     """Events without repeats of their keys within the watermark, which bounds the state."""
     return log.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)

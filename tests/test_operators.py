@@ -132,3 +132,24 @@ def test_streams_give_what_batches_give(spark, tmp_path, log):
     values.writeStream.outputMode("update").format("memory").queryName("latest_values").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
     top = spark.table("latest_values").groupBy("obj", "prop").agg(F.max_by("val", "seq").alias("val"))
     assert sorted(map(tuple, top.collect())) == want
+
+
+def test_lists_are_kept_in_state(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "add", "a", 1), (1, "add", "b", 2), (2, "add", "x", 3), (2, "remove", "x", 4)], "obj long, op string, item string, seq long")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/log/0")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/log/*")
+    query = stream.list_events(source).writeStream.outputMode("update").format("memory").queryName("lists").option("checkpointLocation", f"file://{tmp_path}/c")
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.table("lists").collect()] == [(1, 2, "a,b")]
+
+
+def test_what_is_recorded_and_counted(spark):
+    log = spark.createDataFrame([(1, "T", "RecordingChanges"), (1, "T", "ApplyingChanges"), (2, "U", "Disabled")], "obj long, type string, state string")
+    assert C.recorded(log).count() == 1
+    assert sorted(map(tuple, C.type_counts(log).collect())) == [("T", 1), ("U", 1)]
+
+
+def test_tokens_differ():
+    from tessera.functions import tokens
+
+    assert tokens.unique_token() != tokens.unique_token() and len(tokens.salt_bytes(tokens.salt())) == 16
