@@ -121,7 +121,7 @@ class _Block:
                 stretches, specials = pretokens.between_specials(whole, path)
                 counter = Counter(x for s in stretches if s for x in pretokens.library_pretokens(s, path))
                 counter.update(specials)
-            for unit in counter.keys() - units.keys():
+            for unit in [x for x in counter if x not in units]:
                 units[unit] = len(units)
                 split = [unit] if unit in pretokens.special_strings(path) else pretokens.library_pretokens(unit, path)
                 self.unit_tokens.extend([tokens.setdefault(x, len(tokens)) for x in split])
