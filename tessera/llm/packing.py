@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +52,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, bytes] = {}
         for batch, texts in pieces(batches, text):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), _encoded(texts, path, memory)):
+            for doc, ids in zip(batch.column(0).to_pylist(), _encoded(texts, path)):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -64,24 +65,49 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, text: str = "
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(cut, _PIECES)
 
 
-def _encoded(texts: list[bytes], path: str, memory: dict[str, bytes]) -> Iterator[bytes]:
-    """Ids of each text. The tokenizer drops white space, so words stand alone and are encoded once while remembered."""
-    tok = pretokens.tokenizer(path)
-    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+#: The letters of plain texts in lower case. Between one of them and anything else a pre-token ends, but at an apostrophe.
+_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
+_UNITS = re.compile(f"[{_LETTERS}]+|[^\\s{_LETTERS}]+").findall
+#: Stands between units that are encoded together: its first byte, and so its first id, is in no plain text.
+_MARK = "\u4e00"
+#: Encoded units that a worker remembers; beyond it starts anew.
+_REMEMBERED = 500_000
+
+
+@lru_cache(maxsize=2)
+def _memory(path: str) -> dict[str, bytes]:
+    return {}
+
+
+def _encoded(texts: list[bytes], path: str) -> Iterator[bytes]:
+    """Ids of each text, as little-endian 32-bit integers. The tokenizer ignores case and drops white space, so letters
+    and what is between them stand alone; each such unit is encoded once while it is remembered."""
+    tok, memory = pretokens.tokenizer(path), _memory(path)
     for raw in texts:
         whole = raw.decode()
-        if not pretokens.plain(whole, path):
-            yield np.array(encode([whole], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if not pretokens.plain(whole, path) or "\u0130" in whole:  # which lower-cases to two characters
+            yield np.array(tok.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
             continue
-        words = whole.split()
-        missing = list(set(words).difference(memory))
+        units = whole.lower().split() if "'" in whole else _UNITS(whole.lower())
+        missing = list(set(units).difference(memory))
         if missing:
-            if len(memory) > 400_000:
+            if len(memory) > _REMEMBERED:
                 memory.clear()
-                missing = list(set(words))
-            for word, x in zip(missing, encode(missing, add_special_tokens=False)):
-                memory[word] = np.array(x.ids, "<u4").tobytes()
-        yield b"".join(map(memory.__getitem__, words))
+                missing = list(set(units))
+            for i in range(0, len(missing), 1000):
+                memory.update(_units(tok, missing[i : i + 1000]))
+        yield b"".join(map(memory.__getitem__, units))
+
+
+def _units(tok, units: list[str]) -> Iterator[tuple[str, bytes]]:
+    mark = tok.encode(_MARK, add_special_tokens=False).ids
+    if not mark or not (tok.id_to_token(mark[0]) or "").startswith("\u00e4"):
+        return zip(units, (np.array(tok.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in units))
+    ids = np.array(tok.encode(f" {_MARK} ".join(units), add_special_tokens=False).ids, "<u4")
+    at = np.flatnonzero(ids == mark[0])
+    starts, ends = [0, *(4 * (at + len(mark))).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
+    raw = ids.tobytes()
+    return zip(units, (raw[a:b] for a, b in zip(starts, ends)))
 
 
 def pack_pieces(parts: DataFrame, capacity: int = 2048, slack: int = 16, fan_in: int = 16, block: int = 100_000) -> DataFrame:
