@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -27,7 +28,7 @@ class BytePairs:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
     #: Encoded units that a worker remembers; beyond it starts anew.
-    REMEMBERED = 400_000
+    REMEMBERED = 600_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -37,7 +38,11 @@ class BytePairs:
         symbols = byte_symbols()
         self.first = [vocabulary[c] for c in symbols]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: By a pair of ids (left in the high bits): the merge's rank in the high bits, and the id that it makes.
+        self.merges = {vocabulary[a] << 32 | vocabulary[b]: rank << 32 | vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
+        splitter = model["pre_tokenizer"] or {}
+        #: Whether a word of letters alone, with or without a space before it, is one pre-token.
+        self.whole_words = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
         of = {c: b for b, c in enumerate(symbols)}
         self.strings = {i: bytes(of[c] for c in s) for s, i in vocabulary.items() if all(c in of for c in s)}
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
@@ -47,35 +52,47 @@ class BytePairs:
     def merged(self, raw: bytes) -> list[int]:
         """Token ids of one pre-token.
 
-        Symbols form a doubly linked list; the queue has (rank, place, left, right) of each neighbouring pair. An entry
-        is stale, and skipped, once either symbol at its place has changed.
+        Symbols form a doubly linked list; the queue has the rank and the place of each neighbouring pair, as one number. An
+        entry is stale, and skipped, once the pair at its place is gone or has another rank.
         """
         ids = [self.first[b] for b in raw]
-        n, merges = len(ids), self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (found := merges.get((a, b)))]
+        n, find = len(ids), self.merges.get
+        if n == 1:
+            return ids
+        queue = []
+        for i in range(n - 1):
+            if (found := find(ids[i] << 32 | ids[i + 1])) is not None:
+                queue.append(found >> 32 << 32 | i)
         heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, a, b = heappop(queue)
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if j >= n or ids[i] != a or ids[j] != b:
+            if j >= n or ids[i] < 0:
+                continue
+            found = find(ids[i] << 32 | ids[j])
+            if found is None or found >> 32 != entry >> 32:
                 continue
-            new = ids[i] = merges[a, b][1]
+            new = ids[i] = found & 0xFFFFFFFF
             ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((new, ids[k])):
-                    heappush(queue, (found[0], i, new, ids[k]))
+                if (found := find(new << 32 | ids[k])) is not None:
+                    heappush(queue, found >> 32 << 32 | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], new))):
-                heappush(queue, (found[0], h, ids[h], new))
+            if h >= 0 and (found := find(ids[h] << 32 | new)) is not None:
+                heappush(queue, found >> 32 << 32 | h)
         return [i for i in ids if i >= 0]
 
     def unit(self, unit: str) -> bytes:
         """Ids of a unit as little-endian 32-bit integers."""
-        out = [i for x in pretokens.library_pretokens(unit, self.path) for i in self.merged(x.encode())]
-        return np.array(out, "<u4").tobytes()
+        if self.whole_words and unit.removeprefix(" ").isalpha():
+            out = self.merged(unit.encode())
+        else:
+            out = [i for x in pretokens.library_pretokens(unit, self.path) for i in self.merged(x.encode())]
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers; special strings in it become their ids."""
