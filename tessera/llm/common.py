@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +44,13 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system, so that a worker keeps no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def widened(schema: StructType, **more: str) -> StructType:
     """schema with more columns, given by name and type."""
     return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in more.items())).fields])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_key, stored
+from tessera.llm.common import id_key, stored, trim
 from tessera.llm.components import components
 from tessera.llm.passages import _BLOCK, _Docs, _blocked, merge_spans
 from tessera.llm.simhash import Sets
@@ -125,7 +125,7 @@ def _runs(keys: bytes, texts: bytes) -> Iterator[tuple[np.ndarray, Units]]:
     for i in docs.order.tolist():
         held.append(i)
         size += len(docs.texts[i])
-        if size >= 4 << 20:
+        if size >= 2 << 20:
             yield docs.rows[held, 0], Units([docs.texts[k] for k in held])
             held, size = [], 0
     if held:
@@ -265,6 +265,7 @@ def _colliding(_, rows):
 
 
 def _members(_, blocks: pa.Table, asked: pa.Table) -> pa.Table:
+    trim()
     node, _ = _column(asked, "nodes", np.uint64)
     bucket, _ = _column(asked, "buckets", np.uint64)
     size, _ = _column(asked, "sizes", np.int64)
@@ -388,6 +389,7 @@ def _answers(_, listed: pa.Table, named: pa.Table) -> pa.Table:
 
 
 def _removed(_, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    trim()
     name, _ = _column(answers, "digests", np.uint64)
     stays_doc, _ = _column(answers, "docs", np.int64)
     stays_begin, _ = _column(answers, "begins", np.int64)

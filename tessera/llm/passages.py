@@ -13,13 +13,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_key, pieces, stored, text_tie
+from tessera.llm.common import id_key, pieces, stored, text_tie, trim
 from tessera.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 #: Bytes of the strings that are compared, and of the grams of which each string's least is its anchor.
 LENGTH, GRAM = 100, 32
 #: Text of a block of documents, of a segment in which anchors are found, and of a shard whose suffixes are sorted.
-BLOCK_BYTES, SEGMENT, SHARD_BYTES = 16 << 20, 1 << 20, 1 << 21
+BLOCK_BYTES, SEGMENT, SHARD_BYTES = 16 << 20, 1 << 19, 1 << 20
 #: Contexts of one anchor that meet in one shard at most; more are dealt out as pairs of blocks.
 CONTEXTS = 10_000
 _BLOCK = "block long, keys binary, texts binary"
@@ -109,7 +109,7 @@ class _Docs:
         new = np.concatenate([[True], (sorted_keys[1:] != sorted_keys[:-1]).any(axis=1)]) if len(order) else np.zeros(0, bool)
         self.order = order[new]
 
-    def runs(self, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def runs(self, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Consecutive documents of about `most` bytes: their numbers, joined bytes, starts and ends."""
         held, size = [], 0
         for i in self.order.tolist():
@@ -235,6 +235,7 @@ def _repeated(_, rows):
 
 
 def _contexts(_, blocks: pa.Table, repeated: pa.Table) -> pa.Table:
+    trim()
     kinds = (pa.int64(),) * 7 + (pa.binary(),)
     names = [x.split(" ")[0] for x in _FOUND.split(", ")]
     hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in repeated.column("hashes").to_pylist())])
@@ -289,11 +290,13 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ends):
                 cut = int(ends[-1]) + 1
                 yield _shard(whole.slice(0, cut))
+                trim()
                 whole = whole.slice(cut)
             held = whole.to_batches()
             size = pc.sum(whole.column("size")).as_py() or 0
     if held:
         yield _shard(pa.Table.from_batches(held).combine_chunks())
+        trim()
 
 
 def _shard(rows: pa.Table) -> pa.RecordBatch:
@@ -306,6 +309,10 @@ def _shard(rows: pa.Table) -> pa.RecordBatch:
     of = np.fromiter((first[x] for x in texts), np.int64, len(texts))
     same = (doc == doc[of]) & (tie == tie[of]) & (lo == lo[of])
     names = np.fromiter(first.values(), np.int64, len(first))
+    # equal windows have equal anchors: a context that is its anchor's only distinct one has none to find
+    key = np.stack([rows.column("hash").to_numpy()[names], rows.column("pair").to_numpy()[names]], axis=1)
+    _, at, count = np.unique(key, axis=0, return_inverse=True, return_counts=True)
+    names = names[count[at.ravel()] > 1]
     begins, lows, sizes = _repeats([texts[i] for i in names.tolist()], names, doc, tie, lo)
     runs: dict[int, list[int]] = {}
     for k, i in enumerate(begins.tolist()):
@@ -348,6 +355,7 @@ def _repeats(texts: list[bytes], names: np.ndarray, doc: np.ndarray, tie: np.nda
 
 
 def _cut(_, blocks: pa.Table, spans: pa.Table) -> pa.Table:
+    trim()
     where: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, t, a, n in zip(*(spans.column(c).to_pylist() for c in ("doc", "tie", "lo", "size"))):
         where.setdefault((d, t), []).append((a, a + n))
