@@ -105,3 +105,56 @@ def test_one_of_each_keeps_clean_documents(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [g[0] for g in groups]
+
+
+def alike(rng, n, similarity):
+    """Two texts of n shingles each whose sets have about the similarity, and the exact one."""
+    words = [f"w{rng.random()}" for _ in range(n + 4)]
+    other = list(words)
+    other[: round(n * (1 - 2 * similarity / (1 + similarity)))] = [f"x{rng.random()}" for _ in range(round(n * (1 - 2 * similarity / (1 + similarity))))]
+    a, b = ({tuple(x[i : i + 5]) for i in range(n)} for x in (words, other))
+    return " ".join(words), " ".join(other), len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("set_bytes", [16 << 20, 3000])
+def test_one_of_each_links_by_real_similarity(spark, monkeypatch, set_bytes):
+    monkeypatch.setattr(simhash, "SET_BYTES", set_bytes)
+    rng = random.Random(12)
+    rows, want = [], []
+    for similarity in [0.6, 0.7, 0.79, 0.81] * 30:
+        a, b, real = alike(rng, 400, similarity)
+        assert abs(real - similarity) < 0.008
+        want += [len(rows)] + ([len(rows) + 1] if real < 0.8 else [])
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    template = [f"t{i}" for i in range(170)]
+    for i in range(60):  # no two at 0.8, all at more than 0.6
+        want.append(len(rows))
+        rows.append((len(rows), " ".join(template + [f"u{i}.{k}" for k in range(45)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    lost = set(want) - got
+    assert not lost
+    assert len(got - set(want)) <= 2  # of 30 pairs at 0.81: candidates are found by bands
+
+
+def test_one_of_each_tells_documents_of_one_id_or_none_apart(spark):
+    texts = [" ".join(f"{k}.{i}" for i in range(60)) for k in range(4)]
+    docs = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (None, ""), (7, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (7, None)], key=repr)
+
+
+def test_similar_agrees_with_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sets = [rng.choice(40, int(rng.integers(1, 40)), replace=False)]
+        for _ in range(int(rng.integers(1, 25))):
+            x = sets[int(rng.integers(0, len(sets)))]
+            sets.append(np.union1d(x[rng.random(len(x)) < 0.9], rng.integers(0, 40, int(rng.integers(1, 4)))))
+        sets = [np.unique(x).astype(np.uint64) for x in sets]
+        links = simhash.Sets(len(sets))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 5 * len(np.intersect1d(a, sets[j])) >= 4 * len(np.union1d(a, sets[j])):
+                    links.link(np.array([i]), np.array([j]))
+        assert (simhash.similar(sets) == links.root).all()
