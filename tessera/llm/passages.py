@@ -309,10 +309,10 @@ def _shard(rows: pa.Table) -> pa.RecordBatch:
     of = np.fromiter((first[x] for x in texts), np.int64, len(texts))
     same = (doc == doc[of]) & (tie == tie[of]) & (lo == lo[of])
     names = np.fromiter(first.values(), np.int64, len(first))
-    # equal windows have equal anchors: a context that is its anchor's only distinct one has none to find
-    key = np.stack([rows.column("hash").to_numpy()[names], rows.column("pair").to_numpy()[names]], axis=1)
-    _, at, count = np.unique(key, axis=0, return_inverse=True, return_counts=True)
-    names = names[count[at.ravel()] > 1]
+    # equal windows have equal anchors: a context that is its anchor's only distinct one has none to find. Pairs of one
+    # anchor may share the shard, and a context then stands in one of them only, so it is the anchor's that are counted
+    _, at, count = np.unique(rows.column("hash").to_numpy()[names], return_inverse=True, return_counts=True)
+    names = names[count[at] > 1]
     begins, lows, sizes = _repeats([texts[i] for i in names.tolist()], names, doc, tie, lo)
     runs: dict[int, list[int]] = {}
     for k, i in enumerate(begins.tolist()):

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tessera.llm import paragraphs, passages
@@ -66,6 +68,30 @@ def test_removal_agrees_with_brute_force(spark, monkeypatch, contexts):
     assert passages.passage_digests(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("variants", [2, 3, 4])
+def test_variants_of_a_hot_passage_meet_across_pairs_of_blocks(monkeypatch, variants):
+    """The passes in this process (Spark's workers see no patched limits), with all pairs of blocks in one shard."""
+    monkeypatch.setattr(passages, "CONTEXTS", 1)
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 1)  # a block for each document
+    for seed in range(6):
+        rng = random.Random(seed)
+        passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+        docs = {i: passage + "".join(rng.choice("uvwxyz ") for _ in range(130)) for i in range(variants)}
+        batches = [pa.record_batch([pa.array([k], pa.int64()), pa.array([t])], ["key", "text"]) for k, t in docs.items()]
+        blocks = pa.Table.from_batches(passages._blocked("text")(iter(batches)))
+        listed = pa.Table.from_batches(passages._listed(1)(iter(blocks.to_batches())))
+        repeated = passages._repeated(None, listed)
+        found = []
+        for block in blocks.column("block").to_pylist():
+            mine = [t.filter(pc.equal(t.column(c), block)) for t, c in ((blocks, "block"), (repeated, "of"))]
+            found.append(passages._contexts(None, *mine))
+        shared = pa.concat_tables(found).sort_by([("hash", "ascending"), ("pair", "ascending")])
+        assert pc.all(pc.is_valid(shared.column("context"))).as_py() and pc.max(shared.column("pair")).as_py() > 0
+        spans = pa.Table.from_batches(passages._matched(iter(shared.combine_chunks().to_batches())))
+        for key, _, size, runs, kept in zip(*(c.to_pylist() for c in passages._cut(None, blocks, spans).columns)):
+            assert (size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) == brute(docs)[key], (seed, key)
+
+
 def test_null_ids_come_last_and_texts_are_cut_by_whole_characters(spark):
     line = "".join(chr(0xE0 + i % 20) + str(i) for i in range(80))
     rows = [(None, "z" + line, "en", "s", 0), (4, line + " end", "en", "s", 0)]
