@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences, by partition and then up a tree of underfull bins."""
+"""Best-fit packing of token sequences, by the counts of their lengths."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import pretokens
@@ -22,7 +22,7 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     """Best fit in decreasing order: bin and offset of each item, and the fill of each bin.
 
     Open bins are kept by free space; a bit mask of the spaces that occur gives the smallest that fits. Ties go to the
-    item that comes first.
+    item that comes first. plan() does the same for counts of items.
     """
     bins, offsets, fills = [0] * len(sizes), [0] * len(sizes), []
     by_space: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -110,90 +110,107 @@ def _units(tok, units: list[str]) -> Iterator[tuple[str, bytes]]:
     return zip(units, (raw[a:b] for a, b in zip(starts, ends)))
 
 
+class Run:
+    """Bins first ... first + count - 1, which are all filled alike."""
+
+    __slots__ = ("count", "fill", "first")
+
+    def __init__(self, first: int, count: int, fill: int):
+        self.first, self.count, self.fill = first, count, fill
+
+
+def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """best_fit over counts[n] items of each size n, without the items: the same fills, in a few steps for each size.
+
+    Returns rows (size, first rank, bin, items a bin, offset) and the number of bins. The items of one size are ranked;
+    those from the row's first rank to the next row's go to the bins from `bin` on, so many to each. Bins that are filled
+    alike are one run; items take the runs of the least space that fits, and what is left opens new bins.
+    """
+    by_space: list[list[Run]] = [[] for _ in range(capacity + 1)]
+    mask = bins = 0
+    rows: list[tuple[int, int, int, int, int]] = []
+    for n in sorted(counts, reverse=True):
+        left, rank = counts[n], 0
+        while left:
+            fitting = mask >> n
+            if fitting:
+                space = n + (fitting & -fitting).bit_length() - 1
+                run = by_space[space].pop()
+                if not by_space[space]:
+                    mask ^= 1 << space
+            else:
+                space = capacity
+                run = Run(bins, -(-left // (capacity // n)), 0)
+                bins += run.count
+            each = space // n
+            whole = min(run.count, left // each)  # bins that take `each` items; then one may take the rest
+            rest = min(left - whole * each, each - 1) if whole < run.count else 0
+            parts = [(whole, each), (1 if rest else 0, rest), (run.count - whole - (1 if rest else 0), 0)]
+            first = run.first
+            for count, items in parts:
+                if not count:
+                    continue
+                if items:
+                    rows.append((n, rank, first, items, run.fill))
+                    rank += count * items
+                    left -= count * items
+                part = Run(first, count, run.fill + items * n)
+                first += count
+                if part.fill < capacity:
+                    by_space[capacity - part.fill].append(part)
+                    mask |= 1 << (capacity - part.fill)
+    return np.array(rows, np.int64).reshape(-1, 5), bins
+
+
 def pack_pieces(parts: DataFrame, capacity: int = 2048, slack: int = 16, fan_in: int = 16, block: int = 100_000) -> DataFrame:
     """parts (with a column length from 1 to `capacity`) with sequence_id and offset, in as few sequences as it can.
 
-    First each task packs its pieces best-fit, up to `block` at a time. Bins with at most `slack` free tokens are
-    sequences. The others become items: round by round, `fan_in` groups of them meet in one task, are packed best-fit
-    with each other, and those that are now nearly full leave, until one group is left. A merge hands on its `block`
-    emptiest bins at most and closes the others as they are (no piece is lost), so that a task never holds more than
-    fan_in * block items.
+    Best fit in decreasing order over all pieces at once. Pieces of one length are interchangeable, so only the counts of
+    the `capacity` lengths are packed (on the driver); each piece is ranked among those of its length, within its task
+    and then by the counts of the tasks before, and takes its place by its rank. No bin is closed early and no task
+    holds more than a batch of pieces. `slack`, `fan_in` and `block` have no effect any more: there are no bins to merge.
     """
     schema = parts.drop("sequence_id", "offset").schema
 
-    def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 40
-        held, n = [], 0
+        number = task.partitionId() if task else 0
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= block:
-                number += yield from _packed(held, number, capacity)
-                held, n = [], 0
-        if n:
-            yield from _packed(held, number, capacity)
+            size = batch.column(batch.schema.get_field_index("length")).to_numpy()
+            order = np.argsort(size, kind="stable")
+            here = np.bincount(size, minlength=capacity + 1)
+            rank = np.empty(len(size), np.int64)
+            rank[order] = np.arange(len(size)) - (np.cumsum(here) - here)[size[order]] + seen[size[order]]
+            seen += here
+            columns = [*batch.columns, pa.array(np.full(len(size), number, np.int64)), pa.array(rank)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_task", "_rank"])
 
     kept = parts.select(*[f.name for f in schema])
-    local = stored(kept.mapInArrow(locally, widened(schema, _bin="long", _at="long", _fill="long")))
-    # a bin's fill stands on its first item, so that bins are listed without a shuffle
-    items = stored(
-        local.where((F.col("_at") == 0) & (F.col("_fill") < capacity - slack)).select(
-            F.col("_bin").alias("bin"), F.col("_fill").alias("fill"), F.shiftright("_bin", 40).alias("group")
-        )
-    )
-    moved = items.select(F.col("bin").alias("_bin"), F.col("bin").alias("_root"), F.lit(0).cast("long").alias("_base"))
-    highest = items.agg(F.max("group")).first()[0]
-    width = 0 if highest is None else int(highest) + 1
-    while width:
-        width = 0 if width == 1 else -(-width // fan_in)
-        merged = stored(
-            items.withColumn("group", F.floor(F.col("group") / fan_in).cast("long"))
-            .groupBy("group")
-            .applyInArrow(_merge(capacity, slack, block), "bin long, root long, base long, fill long, group long, open boolean")
-        )
-        step = merged.select(F.col("bin").alias("_root"), F.col("root").alias("_next"), F.col("base").alias("_more"))
-        moved = moved.join(step, "_root", "left").select(
-            "_bin", F.coalesce("_next", "_root").alias("_root"), (F.col("_base") + F.coalesce("_more", F.lit(0))).alias("_base")
-        )
-        items = merged.where("open").select("bin", "fill", "group")
-        width = 0 if width == 1 else width
-    placed = local.join(moved, "_bin", "left")
-    return placed.select(
-        *[F.col(f.name) for f in schema],
-        F.coalesce("_root", "_bin").alias("sequence_id"),
-        (F.col("_at") + F.coalesce("_base", F.lit(0))).cast("long").alias("offset"),
-    )
-
-
-def _packed(held: list[pa.RecordBatch], number: int, capacity: int):
-    whole = pa.Table.from_batches(held).combine_chunks()
-    sizes = whole.column("length").to_numpy()
-    bins, offsets, fills = best_fit(sizes.tolist(), capacity)
-    at = np.array(bins, np.int64)
-    out = whole.append_column("_bin", pa.array(at + number))
-    out = out.append_column("_at", pa.array(offsets, pa.int64())).append_column("_fill", pa.array(np.array(fills, np.int64)[at]))
-    yield from out.to_batches()
-    return len(fills)
-
-
-def _merge(capacity: int, slack: int, most: int):
-    def merge(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("bin", "ascending")])
-        names = rows.column("bin").to_numpy()
-        bins, offsets, fills = best_fit(rows.column("fill").to_pylist(), capacity)
-        at, base, filled = np.array(bins, np.int64), np.array(offsets, np.int64), np.array(fills, np.int64)
-        first = np.empty(len(filled), np.int64)
-        first[at[base == 0]] = names[base == 0]
-        goes_on = np.zeros(len(filled), bool)
-        goes_on[np.argsort(filled, kind="stable")[:most]] = True
-        goes_on &= filled < capacity - slack
-        columns = {"bin": names, "root": first[at], "base": base, "fill": filled[at], "group": rows.column("group")}
-        return pa.table(columns | {"open": goes_on[at] & (base == 0)})
-
-    return merge
+    local = stored(kept.mapInArrow(ranked, widened(schema, _task="long", _rank="long")))
+    counted = stored(local.groupBy("_task", F.col("length").cast("long").alias("_length")).agg(F.count("*").alias("_n")))
+    totals = {r[0]: r[1] for r in counted.groupBy("_length").agg(F.sum("_n")).collect()}
+    rows, _ = plan(totals, capacity)
+    before = Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select(F.col("_task").alias("_of"), "_length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    joined = local.join(bases, (F.col("_task") == F.col("_of")) & (F.col("length") == F.col("_length")))
+    placed = joined.select(*[f.name for f in schema], (F.col("_rank") + F.col("_base")).alias("_rank"))
+    starts = (rows[:, 0] << 48) + rows[:, 1]
+    order = np.argsort(starts)
+    rows, starts = rows[order], starts[order]
+
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(batch.schema.get_field_index("length")).to_numpy().astype(np.int64)
+            rank = batch.column(batch.num_columns - 1).to_numpy()
+            row = rows[np.searchsorted(starts, (size << 48) + rank, "right") - 1]
+            bins, slot = np.divmod(rank - row[:, 1], row[:, 3])
+            columns = [*batch.columns[:-1], pa.array(row[:, 2] + bins), pa.array(row[:, 4] + slot * size)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
+
+    return placed.mapInArrow(seated, widened(schema, sequence_id="long", offset="long"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:

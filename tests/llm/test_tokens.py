@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -106,3 +106,28 @@ def test_best_fit_takes_the_fullest_bin_that_has_room():
     bins, offsets, fills = packing.best_fit([5, 6, 3, 4, 2], 10)
     assert fills == [10, 10]
     assert [bins[i] for i in (1, 3)] == [0, 0] and offsets[3] == 6
+
+
+def test_plans_of_counts_fill_bins_as_best_fit_does():
+    rng = random.Random(7)
+    for _ in range(300):
+        capacity = rng.randint(1, 60)
+        sizes = [rng.randint(1, rng.choice([capacity, max(1, capacity // 3)])) for _ in range(rng.randint(0, 200))]
+        rows, bins = packing.plan(Counter(sizes), capacity)
+        fills = packing.best_fit(sizes, capacity)[2]
+        assert bins == len(fills)
+        got = [0] * bins
+        for k, (size, rank, first, each, at) in enumerate(rows.tolist()):
+            last = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == size else sizes.count(size)
+            for r in range(last - rank):
+                assert got[first + r // each] == at + r % each * size
+                got[first + r // each] += size
+        assert sorted(got) == sorted(fills)
+
+
+def test_long_pieces_that_lie_together_meet_the_short_ones(spark):
+    sizes = [55] * 600 + [45] * 600 + [10] * 30
+    parts = spark.createDataFrame(list(enumerate(sizes)), "id long, length long").repartitionByRange(12, "id")
+    rows = packing.pack_pieces(parts, capacity=100, slack=0, fan_in=3, block=7).collect()
+    assert sorted((r.id, r.length) for r in rows) == list(enumerate(sizes))
+    assert check_sequences(rows, 100) == len(packing.best_fit(sizes, 100)[2]) == 603
