@@ -16,8 +16,10 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
 
     Columns pair_id (the conversation), side, turn, role, text. A conversation without an assistant turn, or whose
     partner has none, keeps its text on both sides: it has no completions. Rows with a null conv_id are no conversation
-    and form no pair. Of repeated rows of a turn, the one with the smallest (role, text) counts. One aggregate and
-    one join on the conversation; nothing is gathered.
+    and form no pair. Rows with a null turn have no place in their conversation and are left out, as the query's SQL
+    has it; a conversation of such rows only gives none. Of repeated rows of a turn, which may differ in role or text, the
+    one with the smallest (role, text) counts and the others are left out. One aggregate and one join on the
+    conversation; nothing is gathered.
     """
     rows = (
         turns.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")

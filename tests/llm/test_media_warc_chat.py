@@ -113,3 +113,10 @@ def test_replies_are_swapped_between_partners(spark):
     got = {(r.pair_id, r.side, r.turn): r.text for r in preferences.swapped_replies(turns).collect()}
     assert got[0, "chosen", 1] == "zero" and got[0, "rejected", 1] == "one" and got[1, "rejected", 1] == "zero" and got[4, "rejected", 0] == "lonely"
     assert len(got) == 12 and got[8, "chosen", 0] == ""
+
+
+def test_null_turns_are_left_out_and_repeated_turns_are_one(spark):
+    rows = [(0, 0, "user", "b"), (0, 0, "user", "a"), (0, 0, "tool", "z"), (0, None, "assistant", "placeless"), (0, 1, "assistant", "zero"), (1, 0, "assistant", "one"), (2, None, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(tuple(r) for r in preferences.swapped_replies(turns).where("side = 'rejected'").collect())
+    assert got == [(0, "rejected", 0, "tool", "z"), (0, "rejected", 1, "assistant", "one"), (1, "rejected", 0, "assistant", "zero")]
