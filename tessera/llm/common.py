@@ -7,9 +7,12 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is empty (tests, one machine) a temporary folder is used.
+    Only where that setting is empty and Spark runs in this process alone a temporary folder is used; on a cluster
+    without it, this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -44,8 +50,43 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores put before it until no column is called so, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: a line of their types and lengths, then their values, compressed byte plane by byte plane."""
+    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays]
+    return head + b"\n" + _zstd()[0].compress(b"".join(planes))
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    head, data = raw.split(b"\n", 1)
+    whole, out, at = np.frombuffer(_zstd()[1].decompress(data), np.uint8), [], 0
+    for item in head.decode().split(";"):
+        kind, n = item.split(",")
+        kind, n = np.dtype(kind), int(n)
+        size = n * kind.itemsize
+        out.append(np.ascontiguousarray(whole[at : at + size].reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        at += size
+    return out
+
+
 def trim() -> None:
-    """Gives memory that is free back to the system, so that a worker keeps no more than it uses."""
+    """Gives free memory back, so that a worker keeps no more than it uses."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

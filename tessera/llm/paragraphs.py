@@ -211,7 +211,7 @@ def _units_of(block_keys: bytes, block_texts: bytes) -> tuple[np.ndarray, np.nda
 def _listed(parts: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, keys, texts in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, keys, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "texts"))):
                 digest, doc, begin, _, _ = _units_of(keys, texts)
                 first = _firsts(digest, doc, begin)
                 names, counts = np.unique(digest, return_counts=True)
@@ -223,7 +223,7 @@ def _listed(parts: int):
 def _banded(parts: int):
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, keys, texts in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, keys, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "texts"))):
                 seen, bands, nodes = np.zeros(0, np.uint64), [], []
                 for _, u in _runs(keys, texts):
                     names, at = np.unique(u.digest[: u.n_paragraphs], return_index=True)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_key, pieces, stored, text_tie, trim
+from tessera.llm.common import NULL_ID, free_names, id_key, packed, pieces, stored, text_tie, trim, unpacked
 from tessera.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 #: Bytes of the strings that are compared, and of the grams of which each string's least is its anchor.
@@ -22,8 +22,9 @@ LENGTH, GRAM = 100, 32
 BLOCK_BYTES, SEGMENT, SHARD_BYTES = 16 << 20, 1 << 19, 1 << 20
 #: Contexts of one anchor that meet in one shard at most; more are dealt out as pairs of blocks.
 CONTEXTS = 10_000
-_BLOCK = "block long, keys binary, texts binary"
-_FOUND = "hash long, pair long, block long, doc long, tie long, lo long, size long, context binary"
+#: Text of the corpus whose lists of anchors, and whose contexts, one group gets: groups grow in number, not in size.
+LISTED_TEXT, SENT_TEXT = 96 << 20, 32 << 20
+_BLOCK = "block long, keys binary, texts binary, size long"
 
 
 # Anchors
@@ -54,7 +55,7 @@ def _grams(buf: np.ndarray) -> np.ndarray:
 
 
 def contexts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts (first, last) with one anchor, and the anchor's hash, over the documents of buf.
+    """Runs of window starts (first, last) with one anchor, and 48 bits of the anchor's hash, over the documents of buf.
 
     A window is LENGTH bytes of one document; its anchor is its least gram, the leftmost of equals. Equal windows have
     equal anchors at the same place, so they can only be found among the contexts of one hash.
@@ -88,7 +89,7 @@ def contexts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
         hi = at[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(at) - 1]])]
         los.append(lo + s)
         his.append(hi + s)
-        hashes.append(gram[a[first]])
+        hashes.append(gram[a[first]] >> np.uint64(16))
     if not los:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
@@ -108,11 +109,14 @@ class _Docs:
         sorted_keys = table[order, :2]
         new = np.concatenate([[True], (sorted_keys[1:] != sorted_keys[:-1]).any(axis=1)]) if len(order) else np.zeros(0, bool)
         self.order = order[new]
+        #: The row that stands for each row: the first of its key and hash.
+        self.stands = np.empty(len(order), np.int64)
+        self.stands[order] = self.order[np.cumsum(new) - 1]
 
-    def runs(self, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def runs(self, skipped: np.ndarray | None = None, most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Consecutive documents of about `most` bytes: their numbers, joined bytes, starts and ends."""
         held, size = [], 0
-        for i in self.order.tolist():
+        for i in (self.order if skipped is None else self.order[~np.isin(self.order, skipped)]).tolist():
             held.append(i)
             size += len(self.texts[i])
             if size >= most:
@@ -136,28 +140,28 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a document of a smaller id, or earlier
     in the same one. Strings are judged on the input; they never cross documents. Null texts are empty; null
-    ids come last; rows of one id are ordered by a hash of their text, and repeated rows get the same result. Other
-    columns are ignored. An empty table gives an empty result.
-
-    1. Documents are read once and stored in blocks. Each block lists its anchors' hashes with their numbers.
-    2. The lists are dealt out by hash; hashes with two or more anchors return to their blocks, with their numbers.
-    3. Each block sends the contexts (the windows of one anchor, about 140 bytes) of repeated anchors, each distinct one once.
+    ids come last, and the largest long counts as null; rows of one id are ordered by a hash of their text, and repeated rows
+    get the same result. Other columns are ignored. An empty table gives an empty result.
+
+    1. Documents are read once and stored in blocks. Each block lists its anchors' hashes with their numbers, and the
+       SHA-256 of its documents.
+    2. The lists are dealt out by hash; hashes with two or more anchors return to their blocks, with their numbers, and so
+       do documents that an earlier one equals: all of such a copy goes, and none of it is looked at again.
+    3. Each block sends the contexts (the windows of one anchor, about 140 bytes) of repeated anchors, each distinct one once,
+       as compressed arrays. Contexts that the block has already are compared with those as bytes, and stay there.
     4. Contexts meet by hash in shards. A shard's suffixes are sorted by induction; neighbours whose common prefix has
        LENGTH bytes or more are equal windows, of which the earliest stays.
     5. Spans return to their blocks, which cut them out.
-    Anchors that are everywhere come once a block, and an anchor of very many contexts is dealt out as pairs of blocks.
+    Groups in which lists and contexts meet grow in number with the text, not in size. Anchors that are everywhere come
+    once a block, and an anchor of very many contexts is dealt out as pairs of blocks.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(id_key(key).alias("key"), F.col(text).alias(text))
     blocks = stored(rows.mapInArrow(_blocked(text), _BLOCK))
-    listed = blocks.mapInArrow(_listed(parts), "part int, block long, hashes binary, counts binary")
-    repeated = listed.groupBy("part").applyInArrow(_repeated, "of long, hashes binary, counts binary")
-    found = stored(blocks.groupBy("block").cogroup(repeated.groupBy("of")).applyInArrow(_contexts, _FOUND))
-    local = found.where(F.col("context").isNull()).select("block", "doc", "tie", "lo", "size")
-    shared = found.where(F.col("context").isNotNull()).repartition("hash", "pair").sortWithinPartitions("hash", "pair")
-    spans = shared.mapInArrow(_matched, "block long, doc long, tie long, lo long, size long").unionByName(local)
-    spans = spans.withColumnRenamed("block", "of")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    listed = blocks.mapInArrow(_listed(1 + total // LISTED_TEXT), "part long, block long, anchors binary, docs binary")
+    repeated = listed.groupBy("part").applyInArrow(_repeated, "of long, anchors binary, copies binary")
+    sent = blocks.groupBy("block").cogroup(repeated.groupBy("of")).applyInArrow(_contexts(1 + total // SENT_TEXT), "part long, block long, contexts binary, own binary")
+    spans = sent.groupBy("part").applyInArrow(_matched, "of long, spans binary")
     schema = "key long, tie long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
     out = blocks.groupBy("block").cogroup(spans.groupBy("of")).applyInArrow(_cut, schema)
     return out.withColumnRenamed("key", key)
@@ -177,9 +181,9 @@ def _blocked(text: str):
         keys, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            packed = zstandard.ZstdCompressor(3).compress(b"".join(texts))
-            columns = [pa.array([number], pa.int64()), pa.array([np.array(keys, np.int64).tobytes()]), pa.array([packed])]
-            return pa.RecordBatch.from_arrays(columns, ["block", "keys", "texts"])
+            packed_texts = zstandard.ZstdCompressor(3).compress(b"".join(texts))
+            columns = [pa.array([number], pa.int64()), pa.array([np.array(keys, np.int64).tobytes()]), pa.array([packed_texts]), pa.array([size], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "keys", "texts", "size"])
 
         for batch, found in pieces(batches, text):
             for k, raw in zip(batch.column(0).to_pylist(), found):
@@ -195,113 +199,198 @@ def _blocked(text: str):
     return blocked
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _parts(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs and the places, in order, where it does."""
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+    for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if a < b:
+            yield p, order[a:b]
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending[:1] * 0)
+
+
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    columns = zip(*rows) if rows else ([],) * len(kinds)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds.values())], list(kinds))
+
+
 def _listed(parts: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, keys, texts in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = [contexts(buf, starts, ends)[2] for _, buf, starts, ends in _Docs(keys, texts).runs()]
+            for block, keys, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "texts"))):
+                docs = _Docs(keys, texts)
+                hashes = [contexts(buf, starts, ends)[2] for _, buf, starts, ends in docs.runs()]
                 names, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
-                part = (names >> np.uint64(32)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                names, counts, edges = names[order], counts[order].astype(np.int32), np.searchsorted(part[order], np.arange(parts + 1))
-                cut = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p for p, _, _ in cut], pa.int32()),
-                        pa.array([block] * len(cut), pa.int64()),
-                        pa.array([names[a:b].tobytes() for _, a, b in cut], pa.binary()),
-                        pa.array([counts[a:b].tobytes() for _, a, b in cut], pa.binary()),
-                    ],
-                    ["part", "block", "hashes", "counts"],
-                )
+                out = []
+                for p, at in _parts((_mixed(names) % np.uint64(parts)).astype(np.int64), parts):
+                    out.append((p, block, packed(_steps(names[at]), counts[at].astype(np.int32)), None))
+                long = np.array([i for i in docs.order.tolist() if len(docs.texts[i]) >= LENGTH], np.int32)
+                sha = np.array([np.frombuffer(hashlib.sha256(docs.texts[i]).digest(), np.uint64) for i in long.tolist()], np.uint64).reshape(-1, 4)
+                for p, at in _parts((sha[:, 0] % np.uint64(parts)).astype(np.int64), parts):
+                    out.append((p, block, None, packed(sha[at].ravel(), docs.rows[long[at], 0], docs.rows[long[at], 1], long[at])))
+                yield from _table(out, part=pa.int64(), block=pa.int64(), anchors=pa.binary(), docs=pa.binary()).to_batches()
 
     return listed
 
 
 def _repeated(_, rows):
-    hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in rows.column("counts").to_pylist()]
-    names, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-    out, begin = [], 0
-    for block, part in zip(rows.column("block").to_pylist(), hashes):
-        here = at[begin : begin + len(part)]
-        begin += len(part)
-        here = here[total[here] > 1]
-        if len(here):
-            out.append((block, names[here].tobytes(), total[here].tobytes()))
-    columns = zip(*out) if out else ([], [], [])
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["of", "hashes", "counts"])
-
-
-def _contexts(_, blocks: pa.Table, repeated: pa.Table) -> pa.Table:
-    trim()
-    kinds = (pa.int64(),) * 7 + (pa.binary(),)
-    names = [x.split(" ")[0] for x in _FOUND.split(", ")]
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in repeated.column("hashes").to_pylist())])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in repeated.column("counts").to_pylist())])
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    out: list[tuple] = []
-    for block, keys, texts in zip(*(blocks.column(c).to_pylist() for c in ("block", "keys", "texts"))):
-        if not len(hashes):
-            break
-        docs, seen = _Docs(keys, texts), set()
-        for numbers, buf, starts, ends in docs.runs():
-            lo, hi, anchor = contexts(buf, starts, ends)
-            at = np.minimum(np.searchsorted(hashes, anchor), len(hashes) - 1)
-            known = hashes[at] == anchor
-            lo, hi, anchor, total = lo[known], hi[known], anchor[known], counts[at[known]]
-            of = np.searchsorted(starts, lo, "right") - 1
-            raw = buf.tobytes()
-            for a, b, h, n, d in zip(lo.tolist(), (hi + LENGTH).tolist(), anchor.view(np.int64).tolist(), total.tolist(), of.tolist()):
-                context = raw[a:b]
-                digest = xxhash.xxh3_128_digest(context)
-                doc, tie, _ = docs.rows[numbers[d]].tolist()
-                at_doc, size = a - int(starts[d]), b - a
-                if digest in seen:
-                    out.append((h, 0, block, doc, tie, at_doc, size, None))
-                    continue
-                seen.add(digest)
-                many = -(-n // CONTEXTS)
-                if many == 1:
-                    out.append((h, 0, block, doc, tie, at_doc, size, context))
-                    continue
-                mine = int.from_bytes(digest[:8], "little") % many
-                for j in range(many):
-                    out.append((h, min(j, mine) * many + max(j, mine), block, doc, tie, at_doc, size, context))
-    columns = zip(*out) if out else ([],) * 8
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
-
-
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the repeated windows among contexts that are sorted by hash and pair."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            held.append(batch.slice(i, 2000))
-            size += pc.sum(held[-1].column("size")).as_py()
-            if size < SHARD_BYTES:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks()
-            h, p = whole.column("hash").to_numpy(), whole.column("pair").to_numpy()
-            ends = np.flatnonzero((h[1:] != h[:-1]) | (p[1:] != p[:-1]))
-            if len(ends):
-                cut = int(ends[-1]) + 1
-                yield _shard(whole.slice(0, cut))
-                trim()
-                whole = whole.slice(cut)
-            held = whole.to_batches()
-            size = pc.sum(whole.column("size")).as_py() or 0
+    """To each block, of the anchors it lists, those that occur twice or more, with their numbers; and its copies."""
+    out = []
+    held = [(b, x) for b, x in zip(rows.column("block").to_pylist(), rows.column("anchors").to_pylist()) if x]
+    if held:
+        lists = [unpacked(x) for _, x in held]
+        hashes = [np.cumsum(h, dtype=np.uint64) for h, _ in lists]
+        names, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(at, np.concatenate([c for _, c in lists])).astype(np.int64)
+        begin = 0
+        for (block, _), part in zip(held, hashes):
+            here = at[begin : begin + len(part)]
+            begin += len(part)
+            here = here[total[here] > 1]
+            if len(here):
+                out.append((block, packed(_steps(names[here]), total[here]), None))
+    held = [(b, unpacked(x)) for b, x in zip(rows.column("block").to_pylist(), rows.column("docs").to_pylist()) if x]
     if held:
-        yield _shard(pa.Table.from_batches(held).combine_chunks())
+        sha = np.concatenate([x[0] for _, x in held]).reshape(-1, 4)
+        doc, tie, row = (np.concatenate([x[i] for _, x in held]) for i in (1, 2, 3))
+        block = np.repeat([b for b, _ in held], [len(x[3]) for _, x in held])
+        order = np.lexsort((tie, doc, *sha.T))
+        new = np.concatenate([[True], (sha[order[1:]] != sha[order[:-1]]).any(axis=1)])
+        first = order[new][np.cumsum(new) - 1]
+        copy = order[(doc[order] != doc[first]) | (tie[order] != tie[first])]
+        for b in np.unique(block[copy]).tolist():
+            out.append((b, None, packed(row[copy[block[copy] == b]])))
+    return _table(out, of=pa.int64(), anchors=pa.binary(), copies=pa.binary())
+
+
+def _contexts(parts: int):
+    def found(_, blocks: pa.Table, repeated: pa.Table) -> pa.Table:
         trim()
+        lists = [unpacked(x) for x in repeated.column("anchors").to_pylist() if x]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(h, dtype=np.uint64) for h, _ in lists)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in lists)])
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        copies = np.concatenate([np.zeros(0, np.int32), *(unpacked(x)[0] for x in repeated.column("copies").to_pylist() if x)])
+        out: list[tuple] = []
+        for block, keys, texts in zip(*(blocks.column(c).to_pylist() for c in ("block", "keys", "texts"))):
+            if len(hashes) or len(copies):
+                out += _sent(block, _Docs(keys, texts), copies, hashes, counts, parts)
+        return _table(out, part=pa.int64(), block=pa.int64(), contexts=pa.binary(), own=pa.binary())
+
+    return found
+
+
+def _sent(block: int, docs: _Docs, copies: np.ndarray, hashes: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Rows of a block: its contexts, each distinct one once, by part; and the spans that it knows of itself."""
+    seen: dict[bytes, int] = {}
+    kept, own = [], [(copies.astype(np.int64), np.zeros(len(copies), np.int64), docs.rows[copies, 2])]
+    for numbers, buf, starts, ends in docs.runs(copies):
+        lo, hi, anchor = contexts(buf, starts, ends)
+        at = np.minimum(np.searchsorted(hashes, anchor), len(hashes) - 1) if len(hashes) else np.zeros(len(anchor), np.int64)
+        known = hashes[at] == anchor if len(hashes) else np.zeros(len(anchor), bool)
+        lo, size, anchor, total = lo[known], hi[known] + LENGTH - lo[known], anchor[known], counts[at[known]]
+        of = np.searchsorted(starts, lo, "right") - 1
+        raw, before = buf.tobytes(), len(seen)
+        place = np.fromiter((seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(lo.tolist(), size.tolist())), np.int64, len(lo))
+        new = np.diff(np.maximum.accumulate(np.concatenate([[before - 1], place]))) > 0  # places are given in order
+        row, lo = numbers[of], lo - starts[of]
+        kept.append((row[new], lo[new], size[new], anchor[new], total[new]))
+        own.append((row[~new], lo[~new], size[~new]))
+    row, lo, size = (np.concatenate(x) for x in zip(*own))
+    if len(row):
+        yield block % parts, block, None, packed(*(x.astype(np.int32) for x in merged_spans(row, lo, size)))
+    if not seen:
+        return
+    row, lo, size, anchor, total = (np.concatenate(x) for x in zip(*kept))
+    at = np.cumsum(size) - size
+    which, pair = _dealt(list(seen), -(-total // CONTEXTS))
+    text = np.frombuffer(b"".join(seen), np.uint8)
+    part = (_mixed(anchor[which] + _mixed(pair.astype(np.uint64) + np.uint64(1))) % np.uint64(parts)).astype(np.int64)
+    for p, here in _parts(part, parts):
+        k = which[here]
+        names, of = np.unique(row[k], return_inverse=True)
+        arrays = [anchor[k], pair[here], lo[k].astype(np.int32), size[k].astype(np.int32), of.astype(np.int32)]
+        arrays += [names.astype(np.int32), docs.rows[names, 0], docs.rows[names, 1]]
+        n = size[k]
+        take = np.repeat(at[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield p, block, packed(*arrays, text[take]), None
+
+
+def _dealt(texts: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, and the pair of blocks of contexts to which each goes: those of an anchor that is cut in `many` blocks
+    go to each pair that has their own block."""
+    which, pair = [np.flatnonzero(many <= 1)], [np.zeros(int((many <= 1).sum()), np.int64)]
+    for k in np.flatnonzero(many > 1).tolist():
+        m = int(many[k])
+        mine, j = xxhash.xxh64_intdigest(texts[k], 7) % m, np.arange(m)
+        which.append(np.full(m, k))
+        pair.append(np.minimum(j, mine) * m + np.maximum(j, mine))
+    return np.concatenate(which), np.concatenate(pair)
+
+
+def merged_spans(row: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of spans (row, begin, size) as maximal runs, in order."""
+    begin = (row.astype(np.int64) << 32) + lo
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], (begin + size)[order]
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]])) if len(begin) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(begin)) - 1 if len(first) else first
+    return begin[first] >> 32, begin[first] & 0xFFFFFFFF, reach[last] - begin[first]
+
+
+def _matched(_, rows):
+    """To each block, the spans of windows that start earlier elsewhere, from the contexts of one part."""
+    trim()
+    spans: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+    fields: list[list[np.ndarray]] = [[] for _ in range(8)]
+    texts: list[bytes] = []
+    for block, sent, own in zip(*(rows.column(c).to_pylist() for c in ("block", "contexts", "own"))):
+        if own:
+            row, lo, size = unpacked(own)
+            spans.append(np.stack([np.full(len(row), block), row, lo, size], axis=1).astype(np.int64))
+        if sent:
+            anchor, pair, lo, size, of, names, doc, tie, text = unpacked(sent)
+            ends, raw = np.cumsum(size, dtype=np.int64), text.tobytes()
+            texts += [raw[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+            for held, x in zip(fields, (anchor, pair, np.full(len(of), block), names[of], doc[of], tie[of], lo, size)):
+                held.append(x)
+    if texts:
+        anchor, pair, block, row, doc, tie, lo, size = (np.concatenate(x) for x in fields)
+        row, lo, size = row.astype(np.int64), lo.astype(np.int64), size.astype(np.int64)
+        order = np.lexsort((pair, anchor))
+        a, p = anchor[order], pair[order]
+        edges = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1]), [True]]))
+        volume = np.concatenate([[0], np.cumsum(size[order])])[edges]
+        begin = 0
+        while begin < len(edges) - 1:  # shards of whole groups, of SHARD_BYTES of text or of one group
+            end = max(begin + 1, int(np.searchsorted(volume, volume[begin] + SHARD_BYTES)))
+            end = min(end, len(edges) - 1)
+            here = order[edges[begin] : edges[end]]
+            columns = (x[here] for x in (anchor, block, row, doc, tie, lo, size))
+            spans.append(_shard([texts[i] for i in here.tolist()], *columns))
+            begin = end
+    block, row, lo, size = np.concatenate(spans).T
+    order = np.argsort(block, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], block[order[1:]] != block[order[:-1]], [True]])).tolist() if len(order) else [0]
+    out = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        here = order[a:b]
+        out.append((int(block[here[0]]), packed(*(x.astype(np.int32) for x in merged_spans(row[here], lo[here], size[here])))))
+    return _table(out, of=pa.int64(), spans=pa.binary())
 
 
-def _shard(rows: pa.Table) -> pa.RecordBatch:
-    texts = rows.column("context").to_pylist()
-    block, doc, tie, lo, size = (rows.column(c).to_numpy() for c in ("block", "doc", "tie", "lo", "size"))
+def _shard(texts: list[bytes], anchor, block, row, doc, tie, lo, size) -> np.ndarray:
+    """Spans (block, row, begin, size) among contexts, all of any anchor (or pair of blocks of it)."""
     order = np.lexsort((lo, tie, doc))
     first: dict[bytes, int] = {}
     for i in order.tolist():  # the earliest of equal contexts stands for them
@@ -311,19 +400,19 @@ def _shard(rows: pa.Table) -> pa.RecordBatch:
     names = np.fromiter(first.values(), np.int64, len(first))
     # equal windows have equal anchors: a context that is its anchor's only distinct one has none to find. Pairs of one
     # anchor may share the shard, and a context then stands in one of them only, so it is the anchor's that are counted
-    _, at, count = np.unique(rows.column("hash").to_numpy()[names], return_inverse=True, return_counts=True)
+    _, at, count = np.unique(anchor[names], return_inverse=True, return_counts=True)
     names = names[count[at] > 1]
     begins, lows, sizes = _repeats([texts[i] for i in names.tolist()], names, doc, tie, lo)
-    runs: dict[int, list[int]] = {}
-    for k, i in enumerate(begins.tolist()):
-        runs.setdefault(i, []).append(k)
-    out: list[np.ndarray] = [np.stack([block, doc, tie, lo, size], axis=1)[~same]]
-    for i in np.flatnonzero(same).tolist():
-        if k := runs.get(int(of[i])):
-            n = len(k)
-            out.append(np.stack([np.full(n, block[i]), np.full(n, doc[i]), np.full(n, tie[i]), lo[i] + lows[k], sizes[k]], axis=1))
-    spans = np.concatenate(out)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in spans.T], ["block", "doc", "tie", "lo", "size"])
+    whole = np.stack([block, row, lo, size], axis=1)[~same]
+    # a run of a context is one of each row that stands for it: usually itself, and repeated rows of its document
+    members = np.flatnonzero(same)
+    sorted_runs = np.argsort(begins, kind="stable")
+    begins, lows, sizes = begins[sorted_runs], lows[sorted_runs], sizes[sorted_runs]
+    a, b = np.searchsorted(begins, of[members]), np.searchsorted(begins, of[members], "right")
+    n = b - a
+    who = np.repeat(members, n)
+    k = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return np.concatenate([whole, np.stack([block[who], row[who], lo[who] + lows[k], sizes[k]], axis=1)]).astype(np.int64)
 
 
 def _repeats(texts: list[bytes], names: np.ndarray, doc: np.ndarray, tie: np.ndarray, lo: np.ndarray):
@@ -356,25 +445,24 @@ def _repeats(texts: list[bytes], names: np.ndarray, doc: np.ndarray, tie: np.nda
 
 def _cut(_, blocks: pa.Table, spans: pa.Table) -> pa.Table:
     trim()
-    where: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, t, a, n in zip(*(spans.column(c).to_pylist() for c in ("doc", "tie", "lo", "size"))):
-        where.setdefault((d, t), []).append((a, a + n))
-    merged = {k: merge_spans(v) for k, v in where.items()}
+    lists = [unpacked(x) for x in spans.column("spans").to_pylist()]
+    row, lo, size = (np.concatenate([np.zeros(0, np.int32), *(x[i] for x in lists)]) for i in range(3))
+    row, lo, size = merged_spans(row, lo, size)
+    hi = lo + size
     out: list[tuple] = []
     for keys, texts in zip(*(blocks.column(c).to_pylist() for c in ("keys", "texts"))):
         docs = _Docs(keys, texts)
-        for (d, t, n), raw in zip(docs.rows.tolist(), docs.texts):
-            removed = merged.get((d, t), [])
+        a, b = np.searchsorted(row, docs.stands).tolist(), np.searchsorted(row, docs.stands, "right").tolist()
+        for (d, t, n), raw, i, j in zip(docs.rows.tolist(), docs.texts, a, b):
+            removed = list(zip(lo[i:j].tolist(), hi[i:j].tolist()))
             kept, at = [], 0
-            for a, b in removed:
-                kept.append(raw[at:a])
-                at = b
+            for x, y in removed:
+                kept.append(raw[at:x])
+                at = y
             kept.append(raw[at:])
-            out.append((None if d == 2**63 - 1 else d, t, n, [{"begin": a, "end": b} for a, b in removed], b"".join(kept)))
+            out.append((None if d == NULL_ID else d, t, n, [{"begin": x, "end": y} for x, y in removed], b"".join(kept)))
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    columns = zip(*out) if out else ([],) * 5
-    kinds = (pa.int64(), pa.int64(), pa.int64(), span, pa.binary())
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["key", "tie", "n_bytes", "spans", "kept"])
+    return _table(out, key=pa.int64(), tie=pa.int64(), n_bytes=pa.int64(), spans=span, kept=pa.binary())
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -402,18 +490,18 @@ def passage_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def without_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str = "n_chars") -> DataFrame:
     """The rows of docs, all columns, with repeated passages cut from their texts and, where there is such a column,
-    their lengths in characters anew. A character that a cut goes through is cut as a whole."""
-    kept = repeated_passages(docs, text, key).select(
-        F.coalesce(F.col(key), F.lit(2**63 - 1)).alias("_key"), F.col("tie").alias("_tie"), "kept"
-    )
+    their lengths in characters anew. A character that a cut goes through is cut as a whole. Columns of any name are kept as
+    they are; a null text becomes an empty one; an empty table stays empty; repeated rows stay repeated."""
+    kept = repeated_passages(docs, text, key).select(F.coalesce(F.col(key), F.lit(NULL_ID)).alias("k"), F.col("tie").alias("t"), "kept")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts], ["_key", "_tie", "_kept"])
-
-    texts = kept.mapInArrow(decoded, "_key long, _tie long, _kept string").dropDuplicates(["_key", "_tie"])
-    rest = docs.withColumn("_id", id_key(key)).withColumn("_hash", text_tie(text)).drop(text)
-    joined = rest.join(texts, (F.col("_id") == F.col("_key")) & (F.col("_hash") == F.col("_tie")))
-    new = {text: F.col("_kept"), length: F.length("_kept").cast(dict(docs.dtypes).get(length, "long"))}
-    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts], ["k", "t", "kept"])
+
+    id_, hash_, k, t, cut = free_names(docs.columns, "_id", "_hash", "_key", "_tie", "_kept")
+    texts = kept.mapInArrow(decoded, "k long, t long, kept string").dropDuplicates(["k", "t"]).toDF(k, t, cut)
+    rest = docs.withColumn(id_, id_key(key)).withColumn(hash_, text_tie(text)).drop(text)
+    joined = rest.join(texts, (F.col(id_) == F.col(k)) & (F.col(hash_) == F.col(t)))
+    new = {text: F.col(cut), length: F.length(cut).cast(dict(docs.dtypes).get(length, "long"))}
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

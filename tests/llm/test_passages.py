@@ -51,6 +51,7 @@ def corpus(seed):
         docs[i] = "".join(parts)
     docs[60], docs[61], docs[62] = "ab" * 3000, "é" * 500, "x" * 99
     docs[63] = docs[5] + docs[5]
+    docs[64], docs[65], docs[66] = docs[60], docs[3] + shared[0], docs[3] + shared[0]  # whole copies
     return docs
 
 
@@ -58,10 +59,10 @@ def corpus(seed):
 def test_removal_agrees_with_brute_force(spark, monkeypatch, contexts):
     monkeypatch.setattr(passages, "CONTEXTS", contexts)
     docs = corpus(contexts)
-    rows = [(k, t, "x", 1) for k, t in docs.items()] + [(5, docs[5], "x", 1), (64, None, "x", 1), (65, "", "x", 1)]
+    rows = [(k, t, "x", 1) for k, t in docs.items()] + [(5, docs[5], "x", 1), (66, docs[66], "x", 1), (67, None, "x", 1), (68, "", "x", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_bytes long").repartition(6)
     got = passages.passage_digests(frame).collect()
-    want = brute(docs | {64: "", 65: ""})
+    want = brute(docs | {67: "", 68: ""})
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
@@ -81,15 +82,17 @@ def test_variants_of_a_hot_passage_meet_across_pairs_of_blocks(monkeypatch, vari
         blocks = pa.Table.from_batches(passages._blocked("text")(iter(batches)))
         listed = pa.Table.from_batches(passages._listed(1)(iter(blocks.to_batches())))
         repeated = passages._repeated(None, listed)
-        found = []
+        sent = []
         for block in blocks.column("block").to_pylist():
             mine = [t.filter(pc.equal(t.column(c), block)) for t, c in ((blocks, "block"), (repeated, "of"))]
-            found.append(passages._contexts(None, *mine))
-        shared = pa.concat_tables(found).sort_by([("hash", "ascending"), ("pair", "ascending")])
-        assert pc.all(pc.is_valid(shared.column("context"))).as_py() and pc.max(shared.column("pair")).as_py() > 0
-        spans = pa.Table.from_batches(passages._matched(iter(shared.combine_chunks().to_batches())))
-        for key, _, size, runs, kept in zip(*(c.to_pylist() for c in passages._cut(None, blocks, spans).columns)):
-            assert (size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) == brute(docs)[key], (seed, key)
+            sent.append(passages._contexts(1)(None, *mine))
+        pairs = [passages.unpacked(x)[1].max() for t in sent for x in t.column("contexts").to_pylist() if x]
+        assert max(pairs) > 0
+        spans = passages._matched(None, pa.concat_tables(sent))
+        for block in blocks.column("block").to_pylist():
+            mine = [t.filter(pc.equal(t.column(c), block)) for t, c in ((blocks, "block"), (spans, "of"))]
+            for key, _, size, runs, kept in zip(*(c.to_pylist() for c in passages._cut(None, *mine).columns)):
+                assert (size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) == brute(docs)[key], (seed, key)
 
 
 def test_null_ids_come_last_and_texts_are_cut_by_whole_characters(spark):
