@@ -1,19 +1,19 @@
-"""Best-fit packing of token sequences, by the counts of their lengths."""
+"""Best-fit packing of token sequences: leaf by leaf, then up a tree of underfull bins."""
 
 from __future__ import annotations
 
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import pretokens
-from tessera.llm.common import pieces, stored, widened
+from tessera.llm.common import free_names, packed, pieces, stored, unpacked, widened
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -119,17 +119,20 @@ class Run:
         self.first, self.count, self.fill = first, count, fill
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """best_fit over counts[n] items of each size n, without the items: the same fills, in a few steps for each size.
 
-    Returns rows (size, first rank, bin, items a bin, offset) and the number of bins. The items of one size are ranked;
-    those from the row's first rank to the next row's go to the bins from `bin` on, so many to each. Bins that are filled
-    alike are one run; items take the runs of the least space that fits, and what is left opens new bins.
+    Returns rows (size, first rank, bin, items a bin, offset), by size and rank, and runs (first bin, bins, fill) of all
+    bins in order. The items of one size are ranked; those from a row's first rank to the next row's go to the bins from
+    `bin` on, so many to each. Bins that are filled alike are one run; items take the runs of the least space that fits,
+    and what is left opens new bins.
     """
     by_space: list[list[Run]] = [[] for _ in range(capacity + 1)]
     mask = bins = 0
     rows: list[tuple[int, int, int, int, int]] = []
     for n in sorted(counts, reverse=True):
+        if not 0 < n <= capacity:
+            raise ValueError(f"a length of {n} is not in 1 ... {capacity}")
         left, rank = counts[n], 0
         while left:
             fitting = mask >> n
@@ -156,61 +159,139 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
                     left -= count * items
                 part = Run(first, count, run.fill + items * n)
                 first += count
+                by_space[capacity - part.fill].append(part)
                 if part.fill < capacity:
-                    by_space[capacity - part.fill].append(part)
                     mask |= 1 << (capacity - part.fill)
-    return np.array(rows, np.int64).reshape(-1, 5), bins
-
-
-def pack_pieces(parts: DataFrame, capacity: int = 2048, slack: int = 16, fan_in: int = 16, block: int = 100_000) -> DataFrame:
-    """parts (with a column length from 1 to `capacity`) with sequence_id and offset, in as few sequences as it can.
-
-    Best fit in decreasing order over all pieces at once. Pieces of one length are interchangeable, so only the counts of
-    the `capacity` lengths are packed (on the driver); each piece is ranked among those of its length, within its task
-    and then by the counts of the tasks before, and takes its place by its rank. No bin is closed early and no task
-    holds more than a batch of pieces. `slack`, `fan_in` and `block` have no effect any more: there are no bins to merge.
+    runs = sorted((run.first, run.count, run.fill) for held in by_space for run in held)
+    return np.array(sorted(rows), np.int64).reshape(-1, 5), np.array(runs, np.int64).reshape(-1, 3)
+
+
+def _planned(capacity: int, open_below: int):
+    """The best-fit round of a node: for each child a plan of its items; bins filled less than open_below go on as items."""
+
+    def planned(rows):
+        child, size, n = (rows.column(c).to_numpy() for c in ("child", "size", "n"))
+        order = np.lexsort((child, size))
+        child, size, n = child[order], size[order], n[order]
+        names, first = np.unique(size, return_index=True)
+        total = np.add.reduceat(n, first)
+        places, runs = plan(dict(zip(names.tolist(), total.tolist())), capacity)
+        before = np.cumsum(n) - n
+        before -= np.repeat(before[first], np.diff(np.append(first, len(size))))  # items of that size of the children before
+        goes_on = runs[:, 2] < open_below
+        by_fill = np.lexsort((runs[:, 0], runs[:, 2]))[np.sort(goes_on)[::-1]] if len(runs) else np.zeros(0, np.int64)
+        fills, at = np.unique(runs[by_fill, 2], return_index=True)
+        counts = runs[by_fill, 1]
+        ranks = np.cumsum(counts) - counts
+        ranks -= np.repeat(ranks[at], np.diff(np.append(at, len(by_fill))))
+        rank = np.full(len(runs), -1)
+        rank[by_fill] = ranks
+        shared = [*places.T, runs[:, 0], runs[:, 2], rank]
+        out = []
+        for c in np.unique(child).tolist():
+            mine = child == c
+            out.append((c, packed(size[mine], before[mine], *shared)))
+        node = rows.column("node")[0].as_py()
+        sums = np.add.reduceat(counts, at) if len(at) else np.zeros(0, np.int64)
+        return pa.table(
+            {
+                "node": pa.array([node] * len(out), pa.int64()),
+                "child": pa.array([c for c, _ in out], pa.int64()),
+                "plan": pa.array([x for _, x in out], pa.binary()),
+                "bins": pa.array([int(runs[:, 1].sum())] * len(out), pa.int64()),
+                # on one row of the node: what goes on
+                "fills": pa.array([fills.tolist()] + [[]] * (len(out) - 1), pa.list_(pa.int64())),
+                "counts": pa.array([sums.tolist()] + [[]] * (len(out) - 1), pa.list_(pa.int64())),
+            }
+        )
+
+    return planned
+
+
+def seats(size: np.ndarray, chain: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Level, node, bin and offset of each piece of a leaf. chain has (level, node, plan) from the leaf to the root."""
+    n = len(size)
+    order = np.argsort(size, kind="stable")
+    rank = np.empty(n, np.int64)
+    _, first = np.unique(size[order], return_index=True)
+    rank[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    level, node, place, offset = (np.zeros(n, np.int64) for _ in range(4))
+    live, size = np.arange(n), size.astype(np.int64)
+    for at, name, raw in sorted(chain):
+        names, before, of, first_rank, first_bin, each, base, run_bin, run_fill, run_rank = unpacked(raw)
+        ranked = rank + before[np.searchsorted(names, size)]
+        row = np.searchsorted((of << 48) + first_rank, (size << 48) + ranked, "right") - 1
+        bins, slot = np.divmod(ranked - first_rank[row], each[row])
+        bins += first_bin[row]
+        level[live], node[live], place[live] = at, name, bins
+        offset[live] += base[row] + slot * size
+        run = np.searchsorted(run_bin, bins, "right") - 1
+        on = run_rank[run] >= 0
+        rank, size = (run_rank[run] + bins - run_bin[run])[on], run_fill[run][on]
+        live = live[on]
+        if not len(live):
+            break
+    return level, node, place, offset
+
+
+def pack_pieces(parts: DataFrame, capacity: int = 2048, slack: int = 16, fan_in: int = 16, leaf: int = 65_536) -> DataFrame:
+    """parts (with a column length from 1 to `capacity`; others are errors) with sequence_id and offset, in as few sequences
+    as best fit makes. Rows are kept as they are, repeated ones and null columns too; an empty table gives an empty result.
+
+    Pieces are dealt by a hash to leaves of about `leaf` of them, so that no leaf has pieces of one kind only because they lie
+    together. Each leaf packs its own best-fit, by decreasing length. Bins with fewer than `slack` free tokens are
+    emitted. The others become items: round by round, `fan_in` nodes meet in one, whose underfull bins are packed best-fit
+    as items of their fill, and those that are now nearly full leave, until one node is left, which emits all.
+
+    Items of one size are interchangeable, so a round needs only their counts (`capacity` sizes for each child, however
+    many bins there are) and plans places by rank; no task holds bins, and no bin is closed early. Each leaf then gets the
+    plans on its way to the root, and reads each of its pieces' place from them.
     """
-    schema = parts.drop("sequence_id", "offset").schema
+    fields = parts.drop("sequence_id", "offset").schema
+    number, of = free_names(fields.names, "_number", "_leaf")
+    kept = parts.select(*[F.col(f"`{f.name}`") for f in fields])
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        number = task.partitionId() if task else 0
-        seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            size = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            order = np.argsort(size, kind="stable")
-            here = np.bincount(size, minlength=capacity + 1)
-            rank = np.empty(len(size), np.int64)
-            rank[order] = np.arange(len(size)) - (np.cumsum(here) - here)[size[order]] + seen[size[order]]
-            seen += here
-            columns = [*batch.columns, pa.array(np.full(len(size), number, np.int64)), pa.array(rank)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_task", "_rank"])
-
-    kept = parts.select(*[f.name for f in schema])
-    local = stored(kept.mapInArrow(ranked, widened(schema, _task="long", _rank="long")))
-    counted = stored(local.groupBy("_task", F.col("length").cast("long").alias("_length")).agg(F.count("*").alias("_n")))
-    totals = {r[0]: r[1] for r in counted.groupBy("_length").agg(F.sum("_n")).collect()}
-    rows, _ = plan(totals, capacity)
-    before = Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select(F.col("_task").alias("_of"), "_length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    joined = local.join(bases, (F.col("_task") == F.col("_of")) & (F.col("length") == F.col("_length")))
-    placed = joined.select(*[f.name for f in schema], (F.col("_rank") + F.col("_base")).alias("_rank"))
-    starts = (rows[:, 0] << 48) + rows[:, 1]
-    order = np.argsort(starts)
-    rows, starts = rows[order], starts[order]
-
-    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = (task.partitionId() if task else 0) << 36
         for batch in batches:
-            size = batch.column(batch.schema.get_field_index("length")).to_numpy().astype(np.int64)
-            rank = batch.column(batch.num_columns - 1).to_numpy()
-            row = rows[np.searchsorted(starts, (size << 48) + rank, "right") - 1]
-            bins, slot = np.divmod(rank - row[:, 1], row[:, 3])
-            columns = [*batch.columns[:-1], pa.array(row[:, 2] + bins), pa.array(row[:, 4] + slot * size)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
-
-    return placed.mapInArrow(seated, widened(schema, sequence_id="long", offset="long"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], [*batch.schema.names, number])
+            at += batch.num_rows
+
+    local = stored(kept.mapInArrow(numbered, widened(fields, **{number: "long"})))
+    leaves = max(1, -(-local.count() // leaf))
+    spread = local.withColumn(of, F.pmod(F.xxhash64(number), F.lit(leaves)))
+    items = spread.groupBy(F.col(of).alias("child"), F.col("length").cast("long").alias("size")).agg(F.count("*").alias("n"))
+    chains, most, width, level = [], [], leaves, 0
+    schema = "node long, child long, plan binary, bins long, fills array<long>, counts array<long>"
+    while True:
+        width = -(-width // fan_in) if level else width
+        node = F.floor(F.col("child") / fan_in).cast("long") if level else F.col("child")
+        planned = stored(items.withColumn("node", node).groupBy("node").applyInArrow(_planned(capacity, 0 if width == 1 else capacity - slack + 1), schema))
+        below = fan_in ** (level - 1) if level else 1  # leaves of a child
+        ways = F.explode(F.sequence(F.col("child") * below, F.least((F.col("child") + 1) * below, F.lit(leaves)) - 1))
+        chains.append(planned.select(ways.alias("leaf"), F.lit(level).cast("long").alias("level"), "node", "plan"))
+        most.append(planned.agg(F.max("bins")).first()[0] or 1)
+        if width == 1:
+            break
+        open_bins = planned.select(F.col("node").alias("child"), F.explode(F.arrays_zip("fills", "counts")).alias("x"))
+        items = open_bins.select("child", F.col("x.fills").alias("size"), F.col("x.counts").alias("n"))
+        level += 1
+    names = [f.name for f in fields]
+
+    def seated(_, pieces_of: pa.Table, plans: pa.Table) -> pa.Table:
+        size = pieces_of.column("length").to_numpy()
+        chain = list(zip(*(plans.column(c).to_pylist() for c in ("level", "node", "plan"))))
+        level, node, place, offset = seats(size, chain)
+        sequence = (node * np.array(most)[level] + place) * len(most) + level
+        out = pieces_of.select(names)
+        return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    ways = reduce(DataFrame.unionByName, chains)
+    done = spread.drop(number).groupBy(of).cogroup(ways.groupBy("leaf"))
+    return done.applyInArrow(seated, widened(fields, sequence_id="long", offset="long"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -90,16 +91,45 @@ def check_sequences(rows, capacity):
     return len(places)
 
 
-@pytest.mark.parametrize("block", [7, 100_000])
-def test_underfull_bins_meet_up_the_tree(spark, block):
+@pytest.mark.parametrize("leaf", [7, 100, 100_000])
+def test_underfull_bins_meet_up_the_tree(spark, leaf):
     rng = random.Random(2)
     sizes = [rng.choice([1, 3, 40, 55, 60, 61, 99, 100]) for _ in range(900)]
-    parts = spark.createDataFrame(list(enumerate(sizes)), "id long, length long").repartition(40)
-    rows = packing.pack_pieces(parts, capacity=100, slack=0, fan_in=3, block=block).collect()
-    assert sorted((r.id, r.length) for r in rows) == list(enumerate(sizes))
-    n = check_sequences(rows, 100)
-    if block > 7:
-        assert n <= 1.03 * sum(s > 50 for s in sizes)  # no two of these share a sequence
+    frame = spark.createDataFrame([(i, n, "x", None) for i, n in enumerate(sizes)], "id long, length long, _leaf string, _number long")
+    rows = packing.pack_pieces(frame.repartition(40), capacity=100, slack=0, fan_in=3, leaf=leaf).collect()
+    assert sorted((r.id, r.length, r._leaf, r._number) for r in rows) == [(i, n, "x", None) for i, n in enumerate(sizes)]
+    n, least = check_sequences(rows, 100), sum(s > 50 for s in sizes)  # no two of these share a sequence
+    assert n <= {7: 1.12, 100: 1.05, 100_000: 1.03}[leaf] * least
+    assert packing.pack_pieces(frame.limit(0), capacity=100).collect() == []
+
+
+def test_merged_bins_agree_with_best_fit_of_the_rounds():
+    """The whole tree in this process, item by item."""
+    rng = random.Random(5)
+    for _ in range(40):
+        leaves = [[rng.randint(1, 50) for _ in range(rng.randint(1, 30))] for _ in range(3)]
+        rows = [(k, k, n, c) for k, sizes in enumerate(leaves) for n, c in sorted(Counter(sizes).items())]
+        table = lambda rows: pa.table({k: pa.array(list(c), pa.int64()) for k, c in zip(("node", "child", "size", "n"), zip(*rows))})
+        plans = {k: packing._planned(50, 46)(table([r for r in rows if r[0] == k])) for k in range(3)}
+        items = [(0, k, n, c) for k, t in plans.items() for n, c in zip(t.column("fills")[0].as_py(), t.column("counts")[0].as_py())]
+        root = packing._planned(50, 0)(table(items)) if items else None
+        found, full, underfull = [], 0, []
+        for k, sizes in enumerate(leaves):
+            chain = [(0, k, plans[k].column("plan")[0].as_py())]
+            if root is not None and k in (children := root.column("child").to_pylist()):
+                chain.append((1, 0, root.column("plan")[children.index(k)].as_py()))
+            for n, place in zip(sizes, zip(*(x.tolist() for x in packing.seats(np.array(sizes), chain)))):
+                found.append((place[:3], place[3], n))
+            fills = packing.best_fit(sizes, 50)[2]
+            full += sum(f > 45 for f in fills)
+            underfull += [f for f in fills if f <= 45]
+        places = defaultdict(list)
+        for name, offset, n in found:
+            places[name].append((offset, n))
+        for held in places.values():
+            ends = [0, *(o + n for o, n in sorted(held))]
+            assert [o for o, _ in sorted(held)] == ends[:-1] and ends[-1] <= 50
+        assert len(places) == full + len(packing.best_fit(underfull, 50)[2])
 
 
 def test_best_fit_takes_the_fullest_bin_that_has_room():
@@ -115,9 +145,10 @@ def test_plans_of_counts_fill_bins_as_best_fit_does():
         sizes = [rng.randint(1, rng.choice([capacity, max(1, capacity // 3)])) for _ in range(rng.randint(0, 200))]
         rows, bins = packing.plan(Counter(sizes), capacity)
         fills = packing.best_fit(sizes, capacity)[2]
-        assert bins == len(fills)
-        got = [0] * bins
-        for k, (size, rank, first, each, at) in enumerate(rows.tolist()):
+        assert sorted(f for _, n, f in bins.tolist() for _ in range(n)) == sorted(fills)
+        got = [0] * len(fills)
+        rows = sorted(rows.tolist(), key=lambda r: (-r[0], r[1]))
+        for k, (size, rank, first, each, at) in enumerate(rows):
             last = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == size else sizes.count(size)
             for r in range(last - rank):
                 assert got[first + r // each] == at + r % each * size
@@ -126,8 +157,9 @@ def test_plans_of_counts_fill_bins_as_best_fit_does():
 
 
 def test_long_pieces_that_lie_together_meet_the_short_ones(spark):
-    sizes = [55] * 600 + [45] * 600 + [10] * 30
-    parts = spark.createDataFrame(list(enumerate(sizes)), "id long, length long").repartitionByRange(12, "id")
-    rows = packing.pack_pieces(parts, capacity=100, slack=0, fan_in=3, block=7).collect()
-    assert sorted((r.id, r.length) for r in rows) == list(enumerate(sizes))
-    assert check_sequences(rows, 100) == len(packing.best_fit(sizes, 100)[2]) == 603
+    for sizes, leaf, least in (([55] * 600 + [45] * 600 + [10] * 30, 2000, 603), ([55] * 600 + [45] * 600 + [10] * 30, 400, 603), ([60] * 450 + [40] * 450, 300, 450)):
+        parts = spark.createDataFrame(list(enumerate(sizes)), "id long, length long").repartitionByRange(12, "id")
+        rows = packing.pack_pieces(parts, capacity=100, slack=0, fan_in=3, leaf=leaf).collect()
+        assert sorted((r.id, r.length) for r in rows) == list(enumerate(sizes))
+        assert len(packing.best_fit(sizes, 100)[2]) == least
+        assert check_sequences(rows, 100) <= (1 if leaf == 2000 else 1.05) * least
