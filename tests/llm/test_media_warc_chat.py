@@ -1,10 +1,12 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import media, preferences, warc
 
@@ -73,11 +75,42 @@ def test_archives_are_read_back_in_global_order(spark):
     assert warc.capture_index(pages.limit(0)).collect() == []
 
 
-def test_hot_urls_are_split_over_tasks(spark):
+def test_any_id_url_and_date_will_do(spark):
+    rows = [(10**15, "http://[a", "x", "n/a"), (-(2**63), "", "x", "2021-05-06 07:08:09"), (2**63 - 1, "a b", "y", None), (5, "http://é.org:99999/?q", "y", "+99999-01-01"), (None, "//", "z", "1e9")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, captured_at string")
+    got = {r.page_id: r for r in warc.capture_index(pages).collect()}
+    assert set(got) == {r[0] for r in rows} and got[-(2**63)].timestamp == "2021-05-06T07:08:09Z"
+    assert got[10**15].refers_to == -(2**63) and got[2**63 - 1].refers_to == 5 and got[None].record_type == "response"
+    assert got[10**15].url_key == ")http://[a" and len(got[10**15].timestamp) == 20
+    for kind, value in (("array<int>", [1]), ("int", 7), ("date", None)):
+        assert warc.capture_index(spark.createDataFrame([(1, "u", "h", value)], f"page_id long, url string, html string, captured_at {kind}")).count() == 1
+
+
+def test_records_are_read_by_offset_and_archives_are_bounded(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"http://a.org/{i}", "".join(chr(rng.randint(33, 1000)) for _ in range(2000))) for i in range(200)]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, size=20_000)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").glob("*.txt")}
+    assert len(files) > 20 and all(len(f) < 27_000 for f in files.values())
+    index = warc.index_rows(warc.sorted_runs(spark, path)).collect()
+    assert len(index) == 200
+    for r in index:
+        fields, block = warc.parsed(gzip.decompress(files[r.file][r.offset : r.offset + r.length]))
+        assert block.endswith(rows[r.page_id][2].encode()) and fields["WARC-Target-URI"] == r.url
+        assert gzip.decompress(files[r.file]).startswith(b"WARC/1.1")
+
+
+def test_hot_urls_are_split_over_tasks(spark, tmp_path):
     rows = [(i, "http://hot.example.org/", f"v{i}") for i in range(200)]
-    index = warc.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    merged = warc.capture_histories(index.drop("position"), rows_per_task=50)
-    assert merged.rdd.getNumPartitions() > 1 and [r.page_id for r in merged.collect()] == list(range(200))
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path, size=3000)
+    runs = warc.sorted_runs(spark, path)
+    assert runs.count() > 6
+    merged = warc.capture_histories(runs, rows_per_task=50)
+    assert merged.rdd.getNumPartitions() == 4 and [r.page_id for r in merged.collect()] == list(range(200))
+    sizes = merged.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 90
 
 
 def test_the_loser_tree_merges_any_number_of_runs():
