@@ -71,19 +71,21 @@ WITH w AS (
 g AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
 n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 7], ' ')) AS c FROM g),
 again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM n WHERE c > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
           WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 d AS (
   SELECT w.doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
-         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n_lines, 0) AS n_lines,
          CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN again USING (doc_id) LEFT JOIN lines USING (doc_id)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM d),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY source),
-m AS (SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, var_pop(k / n) AS spread, avg(n) AS size FROM h),
-p AS (SELECT mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE size END, 1), greatest(size, 1)) AS weight FROM m),
-v AS (SELECT source AS host, (k + mean * weight) / (n + weight) >= 0.9 AS bad FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+f AS (SELECT *, n_words < 20 AS f1, 100 * n_repeat_words > 30 * n_words AS f2, 10 * n_symbols > n_words AS f3, 2 * n_dup_lines > n_lines AS f4 FROM d),
+u AS (SELECT 1 AS rule, source, count(*) AS n, count(*) FILTER (f1) AS k FROM f GROUP BY source UNION ALL SELECT 2, source, count(*), count(*) FILTER (f2) FROM f GROUP BY source
+      UNION ALL SELECT 3, source, count(*), count(*) FILTER (f3) FROM f GROUP BY source UNION ALL SELECT 4, source, count(*), count(*) FILTER (f4) FROM f GROUP BY source),
+m AS (SELECT rule, least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, var_pop(k / n) AS spread, avg(n) AS size FROM u GROUP BY rule),
+p AS (SELECT rule, mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE size END, 1), greatest(size, 1)) AS weight FROM m),
+r AS (SELECT source, rule, (k + mean * weight) / (n + weight) AS rate, greatest(0.5, least(0.9, mean + 3 * sqrt(mean * (1 - mean) / (weight + 1)))) AS most FROM u JOIN p USING (rule)),
+v AS (SELECT source AS host, bool_or(rate >= most) AS bad, bool_or(rule = 3 AND rate >= 0.02) AS strict3, bool_or(rule = 4 AND rate >= 0.02) AS strict4 FROM r GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, NOT (f1 OR f2 OR bad OR (f3 AND strict3) OR (f4 AND strict4)) AS kept
 FROM f JOIN v ON host IS NOT DISTINCT FROM source
 """,
     "op9_warc": """
