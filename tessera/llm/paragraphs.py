@@ -6,16 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_key, stored, trim
+from tessera.llm.common import NULL_ID, id_key, packed, stored, trim, unpacked
 from tessera.llm.components import components
 from tessera.llm.passages import _BLOCK, _Docs, _blocked, merge_spans
 from tessera.llm.simhash import Sets
 
-#: Words of a shingle, of the shortest paragraph that counts, and of a window; window starts of which one is taken.
-SHINGLE, PARAGRAPH, WINDOW, STARTS = 5, 10, 20, 28
+#: Words of a shingle, of the shortest paragraph that counts, and of a window; window starts of which one is taken. Shorter
+#: lines are the marks and notices that many sound documents share.
+SHINGLE, PARAGRAPH, WINDOW, STARTS = 5, 20, 20, 28
+#: Text of the corpus whose units one group gets: groups grow in number, not in size.
+LISTED_TEXT = 96 << 20
 #: Bands and rows: a pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8 ** 4) ** 10 = 0.995.
 BANDS, ROWS = 10, 4
 #: Paragraphs of a bucket that one task compares; more are dealt out as pairs of blocks.
@@ -45,15 +49,17 @@ def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class Units:
-    """The paragraphs and windows of a run of documents: digest, document, begin and size in bytes.
+    """The paragraphs and windows of a run of documents: digest, check, document, begin and size in bytes.
 
     A paragraph is a line of PARAGRAPH words or more. Windows are WINDOW words of a document, line ends ignored;
     of any STARTS consecutive ones the one with the least first shingle is taken, so that two texts that share
-    WINDOW + STARTS - 1 = 47 words in a row share a window. Words are compared in lower case (A-Z).
+    WINDOW + STARTS - 1 = 47 words in a row share a window. Words are compared in lower case (A-Z). The digest comes from
+    hashes of words; the check is a hash of the words themselves (XXH3), so that equal units agree in 128 bits.
     """
 
     def __init__(self, texts: list[bytes]):
-        buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        joined = b"\n".join(texts) + b"\n"
+        buf = np.frombuffer(joined, np.uint8)
         size = np.array([len(x) for x in texts]) + 1
         first_byte = np.cumsum(size) - size
         space = _SPACE[buf]
@@ -76,6 +82,10 @@ class Units:
         digests = [_hashes(word, a, b) | np.uint64(1), _hashes(word, w, w + WINDOW) & ~np.uint64(1)]
         self.digest = np.concatenate(digests)
         a, b = np.concatenate([a, w]), np.concatenate([b, w + WINDOW])
+        words = b" ".join(joined.lower().split())
+        at = np.cumsum(np.concatenate([[0], end - start + 1]))
+        of = xxhash.xxh3_64_intdigest
+        self.check = np.fromiter((of(words[i:j]) for i, j in zip(at[a].tolist(), (at[b] - 1).tolist())), np.uint64, len(a))
         self.document = document[a] if n else np.zeros(0, np.int64)
         self.begin = start[a] - first_byte[self.document] if n else np.zeros(0, np.int64)
         self.size = end[b - 1] - start[a] if n else np.zeros(0, np.int64)
@@ -133,25 +143,23 @@ def _runs(keys: bytes, texts: bytes) -> Iterator[tuple[np.ndarray, Units]]:
 
 
 def _dealt(part: np.ndarray, parts: int, block: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, block, the columns' bytes) of the values whose part it is."""
+    """Rows (part, block, the columns' values) of the values whose part it is."""
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
     cut = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-    arrays = [pa.array([p for p, _, _ in cut], pa.int32()), pa.array([block] * len(cut), pa.int64())]
-    for c in columns:
-        c = c[order]
-        arrays.append(pa.array([c[a:b].tobytes() for _, a, b in cut], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, ["part", "block", *(f"c{i}" for i in range(len(columns)))])
+    lists = [packed(*(c[order[a:b]] for c in columns)) for _, a, b in cut]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cut], pa.int64()), pa.array([block] * len(cut), pa.int64()), pa.array(lists, pa.binary())], ["part", "block", "lists"])
 
 
 def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return (x >> np.uint64(33)).astype(np.int64) % parts
 
 
-def _column(rows: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """A column of packed arrays as one array, and the row of each value."""
-    arrays = [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
-    return np.concatenate([np.zeros(0, kind), *arrays]), np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+def _columns(rows: pa.Table, name: str, *kinds: type) -> list[np.ndarray]:
+    """The columns that a column of packed arrays holds, of these types, and the row of each value."""
+    held = [unpacked(x) for x in rows.column(name).to_pylist()]
+    columns = [np.concatenate([np.zeros(0, k), *(x[i] for x in held)]) for i, k in enumerate(kinds)]
+    return [*columns, np.repeat(np.arange(len(held)), [len(x[0]) for x in held]).astype(np.int64)]
 
 
 def _firsts(digest: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -167,44 +175,47 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     Paragraphs are linked if they are equal or if the Jaccard similarity of their sets of 5-word shingles is at least
     `similarity`; windows if they are equal. Of each component of links the earliest unit (by document id, then by
-    place) stays and all others go. Null texts are empty; null ids come last, as null; rows of one id count as one document.
+    place) stays and all others go. Null texts are empty; null ids come last, as null, and the largest long counts as null;
+    rows of one id count as one document; an empty table gives an empty result and other columns are ignored.
 
     1. Documents are stored in blocks; a block lists its units' digests, and the band keys of its distinct paragraphs.
     2. Keys are dealt out by band; paragraphs that share one are asked of one block that has them, with their bucket.
        Buckets of the same members, as near copies have in most bands, are one.
     3. In a bucket, shingle sets are compared exactly, and a spanning forest of the links is kept.
-    4. Components of links give each digest its component's earliest unit; digests go back to all blocks that list them.
+    4. Components of links give each digest its component's earliest unit; digests go back to all blocks that list them, and
+       a unit goes if its check agrees too.
+    Groups in which digests and keys meet grow in number with the text, not in size.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(id_key(key).alias("key"), F.col(text).alias(text))
     blocks = stored(rows.mapInArrow(_blocked(text), _BLOCK))
-    listed = stored(blocks.mapInArrow(_listed(parts), "part int, block long, c0 binary, c1 binary, c2 binary, c3 binary"))
-    banded = blocks.mapInArrow(_banded(parts), "part int, block long, c0 binary, c1 binary")
-    asked = banded.groupBy("part").applyInArrow(_colliding, "of long, nodes binary, buckets binary, sizes binary")
+    parts = 1 + (blocks.agg(F.sum("size")).first()[0] or 0) // LISTED_TEXT
+    dealt = "part long, block long, lists binary"
+    listed = stored(blocks.mapInArrow(_listed(parts), dealt))
+    banded = blocks.mapInArrow(_banded(parts), dealt)
+    asked = banded.groupBy("part").applyInArrow(_colliding, "of long, lists binary")
     members = blocks.groupBy("block").cogroup(asked.groupBy("of")).applyInArrow(_members, "bucket long, pair long, node long, shingles binary")
-    dealt = members.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "node")
-    links = dealt.mapInArrow(_verified(similarity), "a long, b long")
+    sorted_members = members.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "node")
+    links = sorted_members.mapInArrow(_verified(similarity), "a long, b long")
     roots = stored(components(links).select(_part_of("node", parts).alias("at"), "node", "root"))
     firsts = listed.groupBy("part").cogroup(roots.groupBy("at")).applyInArrow(_first_units, "node long, root long, doc long, begin long")
     earliest = firsts.groupBy("root").agg(F.min(F.struct("doc", "begin")).alias("stays")).withColumnRenamed("root", "_root")
     named = roots.join(earliest, F.col("root") == F.col("_root")).select("at", "node", "stays.doc", "stays.begin")
-    answers = listed.groupBy("part").cogroup(named.groupBy("at")).applyInArrow(_answers, "of long, digests binary, docs binary, begins binary")
+    answers = listed.groupBy("part").cogroup(named.groupBy("at")).applyInArrow(_answers, "of long, lists binary")
     schema = "key long, n_paragraphs long, n_windows long, removed_bytes long, spans array<struct<begin: long, end: long>>, kept_in array<long>"
     out = blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_removed, schema)
     return out.withColumnRenamed("key", key)
 
 
 def _part_of(column: str, parts: int):
-    return F.pmod(F.shiftrightunsigned(column, 33), F.lit(parts)).cast("int")
+    return F.pmod(F.shiftrightunsigned(column, 33), F.lit(parts)).cast("long")
 
 
-def _units_of(block_keys: bytes, block_texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """digest, document id, begin, size of all units of a block, and whether each is a paragraph."""
+def _units_of(block_keys: bytes, block_texts: bytes) -> tuple[np.ndarray, ...]:
+    """digest, check, document id, begin, size of all units of a block, and whether each is a paragraph."""
     out = []
     for ids, u in _runs(block_keys, block_texts):
-        out.append((u.digest, ids[u.document], u.begin, u.size, np.arange(len(u.digest)) < u.n_paragraphs))
-    kinds = (np.uint64, np.int64, np.int64, np.int64, bool)
+        out.append((u.digest, u.check, ids[u.document], u.begin, u.size, np.arange(len(u.digest)) < u.n_paragraphs))
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool)
     return tuple(np.concatenate([np.zeros(0, k), *(x[i] for x in out)]) for i, k in enumerate(kinds))
 
 
@@ -212,10 +223,10 @@ def _listed(parts: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, keys, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "texts"))):
-                digest, doc, begin, _, _ = _units_of(keys, texts)
+                digest, check, doc, begin, _, _ = _units_of(keys, texts)
                 first = _firsts(digest, doc, begin)
                 names, counts = np.unique(digest, return_counts=True)
-                yield _dealt(_part(names, parts), parts, block, names, doc[first], begin[first], counts.astype(np.int32))
+                yield _dealt(_part(names, parts), parts, block, names, check[first], doc[first], begin[first].astype(np.int32), counts.astype(np.int32))
 
     return listed
 
@@ -239,8 +250,7 @@ def _banded(parts: int):
 
 
 def _colliding(_, rows):
-    band, row = _column(rows, "c0", np.uint64)
-    node, _ = _column(rows, "c1", np.uint64)
+    band, node, row = _columns(rows, "lists", np.uint64, np.uint64)
     block = np.array(rows.column("block").to_pylist(), np.int64)[row]
     order = np.lexsort((block, node, band))
     band, node, block = band[order], node[order], block[order]
@@ -259,16 +269,13 @@ def _colliding(_, rows):
     bucket, size, node, block = bucket[order], size[order], node[order], block[order]
     edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist() if len(block) else [0]
     cut = list(zip(edges[:-1], edges[1:]))
-    columns = [pa.array([int(block[a]) for a, _ in cut], pa.int64())]
-    columns += [pa.array([c[a:b].tobytes() for a, b in cut], pa.binary()) for c in (node, bucket, size.astype(np.int64))]
-    return pa.table(columns, ["of", "nodes", "buckets", "sizes"])
+    lists = [packed(node[a:b], bucket[a:b], size[a:b].astype(np.int64)) for a, b in cut]
+    return pa.table({"of": pa.array([int(block[a]) for a, _ in cut], pa.int64()), "lists": pa.array(lists, pa.binary())})
 
 
 def _members(_, blocks: pa.Table, asked: pa.Table) -> pa.Table:
     trim()
-    node, _ = _column(asked, "nodes", np.uint64)
-    bucket, _ = _column(asked, "buckets", np.uint64)
-    size, _ = _column(asked, "sizes", np.int64)
+    node, bucket, size, _ = _columns(asked, "lists", np.uint64, np.uint64, np.int64)
     order = np.argsort(node, kind="stable")
     node, bucket, size = node[order], bucket[order], size[order]
     out: dict[tuple[int, int, int], bytes] = {}
@@ -352,9 +359,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _first_units(_, listed: pa.Table, roots: pa.Table) -> pa.Table:
     node, root = roots.column("node").to_numpy(), roots.column("root").to_numpy()
-    digest, _ = _column(listed, "c0", np.uint64)
-    doc, _ = _column(listed, "c1", np.int64)
-    begin, _ = _column(listed, "c2", np.int64)
+    digest, _, doc, begin, _, _ = _columns(listed, "lists", np.uint64, np.uint64, np.int64, np.int64, np.int32)
     digest = digest.view(np.int64)
     order = np.argsort(node)
     node, root = node[order], root[order]
@@ -364,44 +369,40 @@ def _first_units(_, listed: pa.Table, roots: pa.Table) -> pa.Table:
 
 
 def _answers(_, listed: pa.Table, named: pa.Table) -> pa.Table:
-    """To each block: the digests it lists that others repeat or are linked to, and the unit that stays."""
-    digest, row = _column(listed, "c0", np.uint64)
-    doc, _ = _column(listed, "c1", np.int64)
-    begin, _ = _column(listed, "c2", np.int64)
-    count, _ = _column(listed, "c3", np.int32)
+    """To each block: the digests it lists that others repeat or are linked to, their check, and the unit that stays."""
+    digest, check, doc, begin, count, row = _columns(listed, "lists", np.uint64, np.uint64, np.int64, np.int64, np.int32)
     first = _firsts(digest, doc, begin)
     names, at = np.unique(digest, return_inverse=True)
     stays_doc, stays_begin = doc[first], begin[first]
-    told = np.bincount(at, count, minlength=len(names)) > 1
+    agrees = check == check[first][at]  # units of one digest that differ are not told of each other
+    told = np.bincount(at, count * agrees, minlength=len(names)) > 1
     if named.num_rows:
         node = named.column("node").to_numpy().view(np.uint64)
         k = np.searchsorted(names, node)
         stays_doc[k], stays_begin[k], told[k] = named.column("doc").to_numpy(), named.column("begin").to_numpy(), True
     out = []
+    tells = told[at] & agrees
     starts = np.searchsorted(row, np.arange(listed.num_rows + 1)).tolist()
     for block, a, b in zip(listed.column("block").to_pylist(), starts[:-1], starts[1:]):
-        k = at[a:b][told[at[a:b]]]
+        here = a + np.flatnonzero(tells[a:b])
+        k = at[here]
         if len(k):
-            out.append((block, names[k].tobytes(), stays_doc[k].tobytes(), stays_begin[k].tobytes()))
-    columns = zip(*out) if out else ([],) * 4
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["of", "digests", "docs", "begins"])
+            out.append((block, packed(names[k], check[here], stays_doc[k], stays_begin[k].astype(np.int32))))
+    return pa.table({"of": pa.array([b for b, _ in out], pa.int64()), "lists": pa.array([x for _, x in out], pa.binary())})
 
 
 def _removed(_, blocks: pa.Table, answers: pa.Table) -> pa.Table:
     trim()
-    name, _ = _column(answers, "digests", np.uint64)
-    stays_doc, _ = _column(answers, "docs", np.int64)
-    stays_begin, _ = _column(answers, "begins", np.int64)
+    name, known, stays_doc, stays_begin, _ = _columns(answers, "lists", np.uint64, np.uint64, np.int64, np.int64)
     order = np.argsort(name)
-    name, stays_doc, stays_begin = name[order], stays_doc[order], stays_begin[order]
+    name, known, stays_doc, stays_begin = name[order], known[order], stays_doc[order], stays_begin[order]
     lost: dict[int, list[tuple[int, int, bool, int]]] = {}
     for keys, texts in zip(blocks.column("keys").to_pylist(), blocks.column("texts").to_pylist()):
         if not len(name):
             continue
-        digest, doc, begin, size, paragraph = _units_of(keys, texts)
+        digest, check, doc, begin, size, paragraph = _units_of(keys, texts)
         at = np.minimum(np.searchsorted(name, digest), len(name) - 1)
-        goes = (name[at] == digest) & ((stays_doc[at] != doc) | (stays_begin[at] != begin))
+        goes = (name[at] == digest) & (known[at] == check) & ((stays_doc[at] != doc) | (stays_begin[at] != begin))
         for d, b, s, p, k in zip(*(x[goes].tolist() for x in (doc, begin, size, paragraph)), stays_doc[at[goes]].tolist()):
             lost.setdefault(d, []).append((b, b + s, p, k))
     out = []
@@ -409,7 +410,7 @@ def _removed(_, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         spans = merge_spans([(a, b) for a, b, _, _ in units])
         paragraphs = sum(p for _, _, p, _ in units)
         row = (
-            None if d == 2**63 - 1 else d,
+            None if d == NULL_ID else d,
             paragraphs,
             len(units) - paragraphs,
             sum(b - a for a, b in spans),
