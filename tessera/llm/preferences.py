@@ -1,107 +1,105 @@
-"""Preference data from pairs of conversations: DataFrame functions only."""
+"""Preference data from pairs of conversations: DataFrame functions only.
+
+Turns are paired first: a row for each turn of a pair, with what both sides have there. Texts are shuffled once, by pair and
+turn, so a conversation of any length is dealt out; all that is known by pair alone comes back to the turns as numbers.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How a turn is rendered; the text of a completion's assistant turns, with the end mark, is what is learnt.
 HEAD, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _row() -> Column:
+    return F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def paired_turns(sides: DataFrame) -> DataFrame:
+    """pair_id, turn, chosen and rejected (structs of role and text; null on a side that lacks the turn).
+
+    sides has pair_id, side (chosen or rejected), turn, role, text. Null roles and texts are empty. Rows with a null pair_id or turn
+    have no place and are left out; of repeated rows of a side's turn the one with the smallest (role, text) counts.
+    """
+    of = lambda side: F.min(F.when(F.col("side") == side, _row())).alias(side)
+    placed = sides.where(F.col("pair_id").isNotNull() & F.col("turn").isNotNull())
+    return placed.groupBy(F.col("pair_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn")).agg(of("chosen"), of("rejected"))
+
+
 def swapped_replies(turns: DataFrame) -> DataFrame:
-    """Pairs made of plain conversations: chosen is the conversation as it is; rejected is the same with its last
-    assistant turn's text taken from the last assistant turn of its partner, the conversation whose id differs in the
+    """paired_turns() of pairs made of plain conversations: chosen is the conversation as it is; rejected is the same with its
+    last assistant turn's text taken from the last assistant turn of its partner, the conversation whose id differs in the
     last bit.
 
-    Columns pair_id (the conversation), side, turn, role, text. A conversation without an assistant turn, or whose
-    partner has none, keeps its text on both sides: it has no completions. Rows with a null conv_id are no conversation
+    turns has conv_id, turn, role, text; other columns are ignored. A conversation without an assistant turn, or whose
+    partner has none, has the same text on both sides: it has no completions. Rows with a null conv_id are no conversation
     and form no pair. Rows with a null turn have no place in their conversation and are left out, as the query's SQL
     has it; a conversation of such rows only gives none. Of repeated rows of a turn, which may differ in role or text, the
-    one with the smallest (role, text) counts and the others are left out. One aggregate and one join on the
-    conversation; nothing is gathered.
+    one with the smallest (role, text) counts and the others are left out. An empty table gives an empty result.
     """
     rows = (
         turns.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
         .where(F.col("pair_id").isNotNull() & F.col("turn").isNotNull())
         .groupBy("pair_id", "turn")
-        .agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
-        .select("pair_id", "turn", "row.role", "row.text")
-    )
-    replies = (
-        rows.where("role = 'assistant'")
-        .groupBy("pair_id")
-        .agg(F.max(F.struct("turn", "text")).alias("last"))
-        .select(F.col("pair_id").alias("of"), F.col("last.turn").alias("last_turn"), F.col("last.text").alias("reply"))
+        .agg(F.min(_row()).alias("row"))
     )
-    partners = replies.select(F.col("of").bitwiseXOR(F.lit(1)).alias("_of"), F.col("reply").alias("other"))
-    replies = replies.join(partners, F.col("of") == F.col("_of"))
-    both = rows.join(replies, F.col("pair_id") == F.col("of"), "left")
-    rejected = F.when(F.col("turn") == F.col("last_turn"), F.col("other")).otherwise(F.col("text"))
-    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), rejected.alias("text")))
-    return both.select("pair_id", "turn", "role", F.inline(sides)).select("pair_id", "side", "turn", "role", "text")
+    last = rows.where("row.role = 'assistant'").groupBy(F.col("pair_id").alias("of")).agg(F.max("turn").alias("last_turn"))
+    here = (F.col("pair_id") == F.col("of")) & (F.col("turn") == F.col("last_turn"))
+    replies = rows.join(last, here).select("of", "last_turn", F.col("row.text").alias("reply"))
+    partners = replies.select(F.col("of").bitwiseXOR(F.lit(1)).alias("partner"), F.col("reply").alias("other"))
+    swaps = replies.join(partners, F.col("of") == F.col("partner")).select("of", "last_turn", "other")
+    other = F.struct(F.col("row.role").alias("role"), F.coalesce("other", "row.text").alias("text"))
+    return rows.join(swaps, here, "left").select("pair_id", "turn", F.col("row").alias("chosen"), other.alias("rejected"))
 
 
-def preference_segments(sides: DataFrame) -> DataFrame:
-    """The segments of prompt, chosen and rejected of each pair: pair_id, part, seq, role, text, learn_from, learn_to.
+def _rendered(row: Column) -> Column:
+    return F.concat(F.lit(HEAD), row["role"], F.lit("\n"), row["text"], F.lit(END))
 
-    sides has pair_id, side (chosen or rejected), turn, role, text, with a turn once on each side. The prompt is the longest common
-    prefix: turns before the first that differs in role or text, or that one side lacks. It is rendered once. What
-    remains of each side is its completion. In completions the characters from learn_from up to learn_to (an assistant
-    turn's text and end mark) are learnt; elsewhere both are null, so the mask is given with the text. seq counts a part's turns
-    by their number. Null roles and texts are empty.
 
-    A pair's first difference is a minimum over its turns, aggregated before the shuffle, so that a conversation of any
-    length is dealt out by (pair, turn); no conversation is gathered in one row.
+def preference_segments(paired: DataFrame) -> DataFrame:
+    """The rendered turns of each pair, a row for each: pair_id, seq, prompt, chosen, rejected, and the characters that are
+    learnt: chosen_from, chosen_to, rejected_from, rejected_to.
+
+    paired is paired_turns(). The prompt is the longest common prefix: turns before the first that differs in role or text, or
+    that one side lacks. It is rendered once, as prompt; chosen and rejected are null there. What remains of each side is its
+    completion: a row has both sides' turn, and null where a side has none. Of a completion's assistant turns the text
+    and end mark are learnt; other bounds are null, so the mask is given with the text. seq is the turn. Marks inside a text are
+    not escaped: they are the tokenizer's to read as text.
+
+    A pair's first difference is a minimum over its turns, aggregated before the shuffle; the turns from there on, as pairs of
+    numbers, meet the texts where they are.
     """
-    of = lambda side: F.max(F.when(F.col("side") == side, F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    turns = sides.groupBy("pair_id", "turn").agg(of("chosen").alias("chosen"), of("rejected").alias("rejected"))
     differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    first = turns.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("_first")).withColumnRenamed("pair_id", "_pair")
-    joined = turns.join(first, F.col("pair_id") == F.col("_pair"))
-    common = F.col("_first").isNull() | (F.col("turn") < F.col("_first"))
-    part = lambda name, turn: F.struct(F.lit(name).alias("part"), turn["role"].alias("role"), turn["text"].alias("body"))
-    parts = F.when(common, F.array(part("prompt", F.col("chosen")))).otherwise(
-        F.filter(
-            F.array(
-                F.when(F.col("chosen").isNotNull(), part("chosen", F.col("chosen"))),
-                F.when(F.col("rejected").isNotNull(), part("rejected", F.col("rejected"))),
-            ),
-            lambda x: x.isNotNull(),
-        )
-    )
-    rows = joined.select("pair_id", "turn", F.inline(parts))
-    head = F.concat(F.lit(HEAD), F.col("role"), F.lit("\n"))
-    learnt = (F.col("part") != "prompt") & (F.col("role") == "assistant")
-    return rows.select(
-        "pair_id",
-        "part",
-        F.col("turn").alias("seq"),
-        "role",
-        F.concat(head, "body", F.lit(END)).alias("text"),
-        F.when(learnt, F.length(head)).cast("long").alias("learn_from"),
-        F.when(learnt, F.length(head) + F.length("body") + F.lit(len(END) - 1)).cast("long").alias("learn_to"),
-    )
+    first = paired.where(differs).groupBy(F.col("pair_id").alias("of")).agg(F.min("turn").alias("first"))
+    keys = paired.select("pair_id", "turn").join(first, (F.col("pair_id") == F.col("of")) & (F.col("turn") >= F.col("first")))
+    later = keys.select(F.col("pair_id").alias("_pair"), F.col("turn").alias("_turn"))
+    rows = paired.join(later, (F.col("pair_id") == F.col("_pair")) & (F.col("turn") == F.col("_turn")), "left")
+    common = F.col("_pair").isNull()
+    columns = [F.col("pair_id"), F.col("turn").alias("seq"), F.when(common, _rendered(F.col("chosen"))).alias("prompt")]
+    columns += [F.when(~common, _rendered(F.col(side))).alias(side) for side in ("chosen", "rejected")]
+    for side in ("chosen", "rejected"):
+        row = F.col(side)
+        learnt, begin = ~common & (row["role"] == "assistant"), F.length(row["role"]) + F.lit(len(HEAD) + 1)
+        columns.append(F.when(learnt, begin).cast("long").alias(f"{side}_from"))
+        columns.append(F.when(learnt, begin + F.length(row["text"]) + F.lit(len(END) - 1)).cast("long").alias(f"{side}_to"))
+    return rows.select(*columns)
 
 
 def preference_rows(segments: DataFrame) -> DataFrame:
     """One row for each pair: pair_id, prompt, chosen, rejected, and the learnt spans of both completions as arrays of
     (begin, end) characters. For conversations that fit a row; preference_segments() has no such bound."""
-    start = F.sum(F.length("text")).over(Window.partitionBy("pair_id", "part").orderBy("seq")) - F.length("text")
-    placed = segments.withColumn("_start", start)
-    texts = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("seq", "text")))), lambda x: x["text"]), "")
-    spans = lambda name: F.array_sort(
-        F.collect_list(
-            F.when(
-                (F.col("part") == name) & F.col("learn_from").isNotNull(),
-                F.struct((F.col("_start") + F.col("learn_from")).alias("begin"), (F.col("_start") + F.col("learn_to")).alias("end")),
-            )
-        )
-    )
-    return placed.groupBy("pair_id").agg(
-        texts("prompt").alias("prompt"),
-        texts("chosen").alias("chosen"),
-        texts("rejected").alias("rejected"),
-        spans("chosen").alias("chosen_spans"),
-        spans("rejected").alias("rejected_spans"),
-    )
+    order = Window.partitionBy("pair_id").orderBy("seq")
+    placed = segments
+    for side in ("chosen", "rejected"):
+        size = F.coalesce(F.length(side), F.lit(0))
+        placed = placed.withColumn(f"{side}_start", F.sum(size).over(order) - size)
+    texts = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("seq", name)))), lambda x: x[name]), "")
+
+    def spans(side: str) -> Column:
+        start = F.col(f"{side}_start")
+        span = F.struct((start + F.col(f"{side}_from")).alias("begin"), (start + F.col(f"{side}_to")).alias("end"))
+        return F.array_sort(F.collect_list(F.when(F.col(f"{side}_from").isNotNull(), span))).alias(f"{side}_spans")
+
+    return placed.groupBy("pair_id").agg(*[texts(x).alias(x) for x in ("prompt", "chosen", "rejected")], spans("chosen"), spans("rejected"))

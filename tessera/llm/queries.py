@@ -101,23 +101,18 @@ FROM b
 WITH t AS (
   SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'body': coalesce(text, '')}) AS r
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
-last AS (
-  SELECT pair_id, max(turn) AS last_turn, arg_max(r.body, turn) AS reply FROM t WHERE r.role = 'assistant' GROUP BY 1),
-swap AS (
-  SELECT a.pair_id, a.last_turn, b.reply AS other FROM last a JOIN last b ON b.pair_id = xor(a.pair_id, 1)),
+last AS (SELECT pair_id, max(turn) AS last_turn, arg_max(r.body, turn) AS reply FROM t WHERE r.role = 'assistant' GROUP BY 1),
+swap AS (SELECT a.pair_id, a.last_turn, b.reply AS other FROM last a JOIN last b ON b.pair_id = xor(a.pair_id, 1)),
 sides AS (
-  SELECT t.pair_id, t.turn, t.r.role AS role, t.r.body AS body,
-         CASE WHEN t.turn = s.last_turn THEN s.other ELSE t.r.body END AS other
+  SELECT t.pair_id, t.turn, t.r.role AS role, t.r.body AS body, CASE WHEN t.turn = s.last_turn THEN s.other ELSE t.r.body END AS other
   FROM t LEFT JOIN swap s ON s.pair_id = t.pair_id),
 first AS (SELECT pair_id, min(turn) FILTER (WHERE body <> other) AS f FROM sides GROUP BY 1),
-seg AS (
-  SELECT b.pair_id, 'prompt' AS part, turn, role, body FROM sides b JOIN first USING (pair_id) WHERE f IS NULL OR turn < f
-  UNION ALL SELECT b.pair_id, 'chosen', turn, role, body FROM sides b JOIN first USING (pair_id) WHERE turn >= f
-  UNION ALL SELECT b.pair_id, 'rejected', turn, role, other FROM sides b JOIN first USING (pair_id) WHERE turn >= f)
-SELECT pair_id, part, turn AS seq, role,
-       '<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10) AS text,
-       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN CAST(13 + length(role) AS BIGINT) END AS learn_from,
-       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN CAST(23 + length(role) + length(body) AS BIGINT) END AS learn_to
+seg AS (SELECT b.*, '<|im_start|>' || role || chr(10) AS head, '<|im_end|>' || chr(10) AS mark, f IS NOT NULL AND turn >= f AS done,
+               f IS NOT NULL AND turn >= f AND role = 'assistant' AS learnt FROM sides b JOIN first USING (pair_id))
+SELECT pair_id, CAST(turn AS BIGINT) AS seq, CASE WHEN NOT done THEN head || body || mark END AS prompt,
+       CASE WHEN done THEN head || body || mark END AS chosen, CASE WHEN done THEN head || other || mark END AS rejected,
+       CASE WHEN learnt THEN CAST(length(head) AS BIGINT) END AS chosen_from, CASE WHEN learnt THEN CAST(length(head) + length(body) + 10 AS BIGINT) END AS chosen_to,
+       CASE WHEN learnt THEN CAST(length(head) AS BIGINT) END AS rejected_from, CASE WHEN learnt THEN CAST(length(head) + length(other) + 10 AS BIGINT) END AS rejected_to
 FROM seg
 """,
 }

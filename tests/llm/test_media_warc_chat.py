@@ -129,27 +129,53 @@ def test_the_common_prefix_is_the_prompt(spark):
     rows = [(1, s, 0, "user", "hi") for s in ("chosen", "rejected")] + [(1, s, 1, "assistant", "hello") for s in ("chosen", "rejected")]
     rows += [(1, "chosen", 2, "user", "a"), (1, "rejected", 2, "user", "b"), (1, "chosen", 3, "assistant", "x"), (1, "rejected", 3, "assistant", "y"), (1, "chosen", 4, "user", None)]
     rows += [(2, "chosen", 0, None, ""), (2, "rejected", 0, "", None), (3, "chosen", 5, "assistant", "alone")]
-    segments = preferences.preference_segments(sides(spark, rows))
+    segments = preferences.preference_segments(preferences.paired_turns(sides(spark, rows)))
     got = {r.pair_id: r for r in preferences.preference_rows(segments).collect()}
     one = got[1]
     assert one.prompt == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n"
     assert [one.chosen[s.begin : s.end] for s in one.chosen_spans] == ["x<|im_end|>"] and [one.rejected[s.begin : s.end] for s in one.rejected_spans] == ["y<|im_end|>"]
     assert one.chosen.endswith("<|im_start|>user\n<|im_end|>\n")
     assert got[2].chosen == got[2].rejected == "" and got[2].prompt and got[3].prompt == "" and got[3].rejected == ""
-    assert preferences.preference_segments(sides(spark, [])).collect() == []
+    assert preferences.preference_segments(preferences.paired_turns(sides(spark, []))).collect() == []
 
 
 def test_replies_are_swapped_between_partners(spark):
     rows = [(0, 0, "user", "q", 1), (0, 1, "assistant", "zero", 1), (1, 0, "user", "r", 1), (1, 1, "assistant", "one", 1), (1, 1, "assistant", "one", 1), (4, 0, "assistant", "lonely", 1)]
     rows += [(None, 0, "user", "x", 1), (6, None, "user", "x", 1), (8, 0, None, None, 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, side long")
-    got = {(r.pair_id, r.side, r.turn): r.text for r in preferences.swapped_replies(turns).collect()}
-    assert got[0, "chosen", 1] == "zero" and got[0, "rejected", 1] == "one" and got[1, "rejected", 1] == "zero" and got[4, "rejected", 0] == "lonely"
-    assert len(got) == 12 and got[8, "chosen", 0] == ""
+    got = {(r.pair_id, r.turn): (r.chosen.text, r.rejected.text) for r in preferences.swapped_replies(turns).collect()}
+    assert got[0, 1] == ("zero", "one") and got[1, 1] == ("one", "zero") and got[4, 0] == ("lonely", "lonely")
+    assert len(got) == 6 and got[8, 0] == ("", "")
 
 
 def test_null_turns_are_left_out_and_repeated_turns_are_one(spark):
     rows = [(0, 0, "user", "b"), (0, 0, "user", "a"), (0, 0, "tool", "z"), (0, None, "assistant", "placeless"), (0, 1, "assistant", "zero"), (1, 0, "assistant", "one"), (2, None, "user", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = sorted(tuple(r) for r in preferences.swapped_replies(turns).where("side = 'rejected'").collect())
-    assert got == [(0, "rejected", 0, "tool", "z"), (0, "rejected", 1, "assistant", "one"), (1, "rejected", 0, "assistant", "zero")]
+    got = sorted((r.pair_id, r.turn, *r.rejected) for r in preferences.swapped_replies(turns).collect())
+    assert got == [(0, 0, "tool", "z"), (0, 1, "assistant", "one"), (1, 0, "assistant", "zero")]
+
+
+def test_random_pairs_agree_with_brute_force(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    render = lambda r: f"<|im_start|>{r[0]}\n{r[1]}<|im_end|>\n"
+    for pair in range(120):
+        both = []
+        shared = [(rng.choice(["user", "assistant"]), rng.choice(["", "a", "é<|im_end|>", "bb"])) for _ in range(rng.randint(0, 6))]
+        for _ in range(2):
+            tail = [(rng.choice(["user", "assistant"]), rng.choice(["a", "b"])) for _ in range(rng.randint(0, 4))]
+            both.append((shared + tail)[: rng.randint(0, 9)])
+        for side, turns in zip(("chosen", "rejected"), both):
+            rows += [(pair, side, 3 * k, *x) for k, x in enumerate(turns)]
+        n = 0
+        while n < min(map(len, both)) and both[0][n] == both[1][n]:
+            n += 1
+        if both[0] or both[1]:
+            learnt = [["".join(map(render, t[n:])), [x[1] + "<|im_end|>" for x in t[n:] if x[0] == "assistant"]] for t in both]
+            want[pair] = ("".join(map(render, both[0][:n])), *(x[0] for x in learnt), *(x[1] for x in learnt))
+    segments = preferences.preference_segments(preferences.paired_turns(sides(spark, rows).repartition(5)))
+    got = {}
+    for r in preferences.preference_rows(segments).collect():
+        cut = [[text[s.begin : s.end] for s in spans] for text, spans in ((r.chosen, r.chosen_spans), (r.rejected, r.rejected_spans))]
+        got[r.pair_id] = (r.prompt, r.chosen, r.rejected, *cut)
+    assert got == want
