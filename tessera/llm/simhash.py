@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, block_pairs, id_key, pieces, stored, text_tie
+from tessera.llm.common import NULL_ID, block_pairs, free_names, id_key, pieces, stored, text_tie
 from tessera.llm.components import components
 
 #: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
@@ -370,7 +370,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 60, text: str =
     a coarse class all pairs whose sizes allow 0.8 are compared by their shingles, unless they are connected already. Texts
     at 0.8 differ in 39 bits on average with a deviation of 6, unrelated ones in 128. Links share 16 bits in one of 64
     bands, which 0.976 of the pairs at 0.8 do (0.995 at 0.85); a coarse class also holds pairs that share none. Texts of equal sets, empty
-    ones too, are one. Rows of one id and different texts are different documents; repeated rows are one.
+    ones too, are one. Rows of one id and different texts are different documents; repeated rows are one. Null ids come last,
+    and the largest long counts as null. Columns may have any name; an empty table stays empty.
     """
     prints = stored(_set_prints(docs, shingle, 4, text, key))
     words = [f"w{i}" for i in range(4)]
@@ -382,10 +383,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 60, text: str =
     totals = named.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1").drop("n")
     roots = components(_verified(docs, named.join(totals, "key"), shingle, text, key))
     classes = prints.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("root", "set"))
-    stays = classes.groupBy("class").agg(first).select(F.col("first.id").alias("_id"), F.col("first.tie").alias("_tie"))
-    keyed = docs.withColumn("_key", id_key(key)).withColumn("_hash", text_tie(text))
-    kept = keyed.join(stays, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left_semi")
-    return kept.dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
+    id_, tie, k, h = free_names(docs.columns, "_id", "_tie", "_key", "_hash")
+    stays = classes.groupBy("class").agg(first).select(F.col("first.id").alias(id_), F.col("first.tie").alias(tie))
+    keyed = docs.withColumn(k, id_key(key)).withColumn(h, text_tie(text))
+    kept = keyed.join(stays, (F.col(k) == F.col(id_)) & (F.col(h) == F.col(tie)), "left_semi")
+    return kept.dropDuplicates([k, h]).drop(k, h)
 
 
 def _set_prints(docs: DataFrame, shingle: int, words: int, text: str, key: str) -> DataFrame:
