@@ -49,7 +49,8 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
     here = (F.col("pair_id") == F.col("of")) & (F.col("turn") == F.col("last_turn"))
     replies = rows.join(last, here).select("of", "last_turn", F.col("row.text").alias("reply"))
     partners = replies.select(F.col("of").bitwiseXOR(F.lit(1)).alias("partner"), F.col("reply").alias("other"))
-    swaps = replies.join(partners, F.col("of") == F.col("partner")).select("of", "last_turn", "other")
+    # null-safe, as neither is null: a test for nulls of `partner` would be pushed down and part this scan from the others
+    swaps = replies.join(partners, F.col("of").eqNullSafe(F.col("partner"))).select("of", "last_turn", "other")
     other = F.struct(F.col("row.role").alias("role"), F.coalesce("other", "row.text").alias("text"))
     return rows.join(swaps, here, "left").select("pair_id", "turn", F.col("row").alias("chosen"), other.alias("rejected"))
 
