@@ -51,10 +51,19 @@ def int_op(op: str, a, b, bits: int = 32) -> Column:
 
 
 def float_op(op: str, a, b, kind: str = "double") -> Column:
-    """a op b for + - * / %; division by zero gives null."""
+    """a op b for + - * / %, as floating-point numbers have it: x / 0 is infinite (with both signs counted), 0 / 0 and x % 0
+    are NaN. Null only where an operand is."""
     a, b = _c(a).cast(kind), _c(b).cast(kind)
-    out = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.try_divide(a, b), "%": lambda: F.try_mod(a, b)}
-    return out[op]().cast(kind)
+    if op in ("+", "-", "*"):
+        return {"+": a + b, "-": a - b, "*": a * b}[op].cast(kind)
+    zero, nan = (b == 0) & a.isNotNull(), F.lit(float("nan"))
+    if op == "%":
+        return F.when(zero, nan).otherwise(F.try_mod(a, b)).cast(kind)
+    if op != "/":
+        raise ValueError(f"{op} is not for floating-point numbers")
+    upwards = (a > 0) == (F.pow(b.cast("double"), F.lit(-1.0)) > 0)  # a power tells the sign of a zero
+    by_zero = F.when(F.isnan(a) | (a == 0), nan).when(upwards, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when(zero, by_zero).otherwise(F.try_divide(a, b)).cast(kind)
 
 
 def mixed_op(op: str, a: Column, a_type: str, b: Column, b_type: str) -> Column:
@@ -118,6 +127,11 @@ def bounded(x: Column, kind: str = "int") -> Column:
     return F.coalesce(limits.cast(kind), x.try_cast(kind))
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a comes before, with or after b in their natural order; null where either is null."""
+    return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).when(a == b, F.lit(0))
+
+
 def equal_objects(a: Column, b: Column, numeric: bool = False) -> Column:
     """Equality of values in memory: nulls are equal, and numbers within 1e-10."""
     if not numeric:
@@ -266,9 +280,8 @@ def salted_hash(s: Column, salt: Column, weak: bool = False) -> Column:
 
 
 def format_float(x: Column) -> Column:
-    """At most two decimals, half to even, without trailing zeros."""
-    shown = F.format_string("%.2f", F.bround(x.cast("decimal(38,6)"), 2).cast("double"))
-    return F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """At most two decimals, half to even by the number's exact value, without trailing zeros."""
+    return F.call_function("format_number", x.cast("double"), F.lit("#.##"))
 
 
 # Paths and names
@@ -296,16 +309,22 @@ def clean_file_name(s: Column) -> Column:
     return F.regexp_replace(F.replace(s, F.lit(" "), F.lit("_")), r"[^\p{L}\p{Nd}.\-_/]", "")
 
 
-def url_concat(*parts: str) -> str | None:
-    """Path parts joined by one slash; ../ at a part's begin takes the last directory off."""
-    out: str | None = None
+def url_concat(*parts: Column | str | None) -> Column:
+    """Path parts joined by one slash; ../ at a part's begin takes the last directory off. Empty and null parts are left out;
+    null if all are."""
+    out = F.lit(None).cast("string")
     for part in parts:
-        if not part:
-            continue
-        while part.startswith("../") and out is not None:
-            part = part[3:]
-            out = out.rpartition("/")[0] if "/" in out else "/"
-        out = part if out is None else out + part if out.endswith("/") else f"{out}/{part}"
+        part = F.lit(part).cast("string") if part is None or isinstance(part, str) else part
+        ups = F.when(out.isNotNull(), F.length(F.regexp_extract(part, r"^((?:\.\./)*)", 1)) / 3).otherwise(F.lit(0)).cast("int")
+        rest = F.substring(part, ups * 3 + 1, F.length(part))
+        # each step up: what is before the last slash; a slash alone where there is none
+        base = F.aggregate(
+            F.when(ups > 0, F.sequence(F.lit(1), ups)).otherwise(F.array().cast("array<int>")),
+            out,
+            lambda o, _: F.when(F.locate("/", o) > 0, F.regexp_replace(o, r"/[^/]*$", "")).otherwise(F.lit("/")),
+        )
+        joined = F.when(out.isNull(), part).when(base.endswith("/"), F.concat(base, rest)).otherwise(F.concat(base, F.lit("/"), rest))
+        out = F.when(part.isNull() | (part == ""), out).otherwise(joined)
     return out
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dml import free_name, numbered
+from tessera.session import checkpointed
+
 #: Flags of a property's options.
 INIT, ON_DEMAND, SERVER, CLIENT, RECEIVE_ONLY, CONSTANT, STATIC, RESET_STATE, SEND_ONLY = (1 << i for i in range(9))
 #: Sync modes.
@@ -30,6 +33,12 @@ def by_priority(log: DataFrame, priority: str, seq: str = "seq") -> DataFrame:
     return log.orderBy(F.col(priority).desc(), F.col(seq).asc())
 
 
+def dispatch_order(log: DataFrame, priority: str, seq: str = "seq", place: str = "place") -> DataFrame:
+    """The log with each event's place (from 1) in the order of dispatch. Ranges of the order are numbered apart, not in one task."""
+    down = free_name(log.columns, "_down")
+    return numbered(log.withColumn(down, -F.col(priority)), [down, seq], place).drop(down)
+
+
 def without_same_values(log: DataFrame) -> DataFrame:
     """Changes whose value differs from the one before, of the same object and property."""
     before = F.lag("val").over(Window.partitionBy("obj", "prop").orderBy("seq"))
@@ -43,10 +52,9 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def overridden(log: DataFrame) -> DataFrame:
-    """The log with overridden: whether a later change of the same property follows."""
-    last = log.groupBy(F.col("obj").alias("_obj"), F.col("prop").alias("_prop")).agg(F.max("seq").alias("_last"))
-    joined = log.join(last, F.col("obj").eqNullSafe(F.col("_obj")) & F.col("prop").eqNullSafe(F.col("_prop")))
-    return joined.withColumn("overridden", F.col("seq") < F.col("_last")).drop("_obj", "_prop", "_last")
+    """The log with overridden: whether a later change of the same property follows. One window, which needs one shuffle."""
+    last = F.max("seq").over(Window.partitionBy("obj", "prop"))
+    return log.withColumn("overridden", F.col("seq") < last)
 
 
 def net_changes(log: DataFrame) -> DataFrame:
@@ -130,13 +138,44 @@ def command(log: DataFrame) -> DataFrame:
     return last.groupBy("obj").agg(F.to_json(F.map_from_entries(pairs)).alias("command"))
 
 
-def jobs_in_order(jobs: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Jobs with priorities from low up to high (not included), higher ones first, then as they came."""
+def jobs_between(jobs: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Jobs with priorities from low up to high (not included)."""
     if low is not None:
         jobs = jobs.where(F.col("priority") >= low)
-    if high is not None:
-        jobs = jobs.where(F.col("priority") < high)
-    return by_priority(jobs, "priority")
+    return jobs.where(F.col("priority") < high) if high is not None else jobs
+
+
+def jobs_in_order(jobs: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Jobs with priorities from low up to high (not included), higher ones first, then as they came."""
+    return by_priority(jobs_between(jobs, low, high), "priority")
+
+
+#: Fixed value: rounds of jobs after which no more are run.
+ROUNDS = 16
+
+
+def run_jobs(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], low: int | None = None, high: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Runs the jobs between low and high, then the jobs that these add, and so on, for ROUNDS more rounds at most: all runs (with
+    round), and the jobs that wait.
+
+    run() gets a round's jobs and gives those that they add, with the same columns. A round is stored before the next
+    one, so that no job runs twice. Jobs outside the range wait, whichever round adds them, as do those of a round too many.
+    """
+    done = waiting = None
+    for number in range(ROUNDS + 2):
+        inside = jobs_between(jobs, low, high)
+        outside = jobs.join(inside.select("seq"), "seq", "left_anti").select(*jobs.columns)
+        waiting = outside if waiting is None else waiting.unionByName(outside)
+        inside = checkpointed(inside)
+        if inside.isEmpty():
+            break
+        if number > ROUNDS:
+            waiting = waiting.unionByName(inside)
+            break
+        marked = inside.withColumn("round", F.lit(number))
+        done = marked if done is None else done.unionByName(marked)
+        jobs = checkpointed(run(inside))
+    return (jobs.limit(0).withColumn("round", F.lit(0)) if done is None else done), waiting
 
 
 def check_acyclic(bindings: dict[str, Sequence[str]]) -> list[str]:

@@ -14,6 +14,14 @@ from tessera.session import checkpointed
 _NEW = "_new_"
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """name, with underscores before it until no column is called so, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _on(left: str, right: str, keys: Sequence[str], prefix: str = "") -> Column:
     out = F.lit(True)
     for k in keys:
@@ -47,13 +55,19 @@ def updated(
     base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str | None = None, modified: tuple[str, Column] | None = None
 ) -> DataFrame:
     """base with the columns of changes in rows of equal keys. With a version column, only changes of the row's version
-    apply, and the version goes up by one; stale_rows() has the others. A null in changes is the new value."""
+    apply, and the version goes up by one; stale_rows() has the others. A null in changes is the new value. Of changes that
+    repeat a key (and version) the greatest by their columns, in order, applies: no row of base is multiplied."""
+    by = [*keys, version] if version else list(keys)
+    rest = [c for c in changes.columns if c not in by]
+    if rest:
+        greatest = changes.groupBy(*by).agg(F.max(F.struct(*rest)).alias(_NEW))
+        changes = greatest.select(*by, *[F.col(f"{_NEW}.{c}").alias(c) for c in rest])
+    else:
+        changes = changes.distinct()
     columns = [c for c in changes.columns if c not in keys and c != version]
     other = changes.select(*[F.col(c).alias(_NEW + c) for c in changes.columns], F.lit(True).alias("_hit"))
-    joined = base.alias("b").join(other.alias("n"), _on("b", "n", keys, _NEW), "left")
+    joined = base.alias("b").join(other.alias("n"), _on("b", "n", by, _NEW), "left")
     hit = F.col("_hit").isNotNull()
-    if version:
-        hit = hit & (F.col(f"b.{version}") == F.col(_NEW + version))
     new = {c: F.when(hit, F.col(_NEW + c)).otherwise(F.col(f"b.{c}")) for c in columns}
     if version:
         new[version] = F.when(hit, F.col(f"b.{version}") + 1).otherwise(F.col(f"b.{version}"))
@@ -82,8 +96,11 @@ def delete_parts(tables: dict[str, tuple[DataFrame, Sequence[str]]], gone: DataF
 
 
 def upserted(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """base with rows in place of those of equal keys, and with the other rows added."""
-    return base.join(rows.select(*keys), list(keys), "left_anti").select(*base.columns).unionByName(rows.select(*base.columns))
+    """base with rows in place of those of equal keys, and with the other rows added. One full join: rows has a key once."""
+    new = rows.select(*[F.col(c).alias(_NEW + c) for c in base.columns], F.lit(True).alias("_hit"))
+    joined = base.alias("b").join(new.alias("n"), _on("b", "n", keys, _NEW), "full")
+    hit = F.col("_hit").isNotNull()
+    return joined.select(*[F.when(hit, F.col(_NEW + c)).otherwise(F.col(f"b.{c}")).alias(c) for c in base.columns])
 
 
 def classified(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -119,10 +136,11 @@ def list_without(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def list_changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and change: removed (in old only) or added (in new only). Lists count as sets."""
-    removed = old.select(*keys).distinct().join(new.select(*keys), list(keys), "left_anti").withColumn("change", F.lit("removed"))
-    added = new.select(*keys).distinct().join(old.select(*keys), list(keys), "left_anti").withColumn("change", F.lit("added"))
-    return removed.unionByName(added)
+    """keys and change: removed (in old only) or added (in new only). Lists count as sets, and nulls as equal. One shuffle."""
+    was, now = free_name(keys, "_was"), free_name(keys, "_now")
+    rows = old.select(*keys, F.lit(1).alias(was), F.lit(0).alias(now)).unionByName(new.select(*keys, F.lit(0).alias(was), F.lit(1).alias(now)))
+    found = rows.groupBy(*keys).agg(F.max(was).alias(was), F.max(now).alias(now)).where(F.col(was) != F.col(now))
+    return found.select(*keys, F.when(F.col(was) == 1, "removed").otherwise("added").alias("change"))
 
 
 # Validation

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -142,10 +143,25 @@ class _Joins:
         return self.aux[at, key]
 
 
+def contains(column: Column, text: str, wildcards: bool) -> Column:
+    """Whether a column has the text anywhere, in whatever case."""
+    if not wildcards:
+        return F.lower(column).contains(text.lower()) if text else column.isNotNull()
+    out, at, pattern = [], 0, f"%{text}%"
+    while at < len(pattern):
+        plain = pattern[at] == "\\" and at + 1 < len(pattern)
+        at += plain
+        c = pattern[at]
+        out.append("\\" + c if c == "\\" or plain and c in "%_" else c)
+        at += 1
+    return column.ilike("".join(out))
+
+
 def compile_query(query: Query, column: Callable[[str], Column], escape: bool = False) -> Column:
     """The Column of a predicate. Comparisons with null are IS NULL and IS NOT NULL; otherwise three-valued logic holds.
 
-    match is a case-insensitive search for the text anywhere; % and _ in it are wildcards unless escape is set.
+    match is a case-insensitive search for the text anywhere; % and _ in it are wildcards, and a backslash makes the next
+    character plain, unless escape is set, which makes all characters plain.
     """
     if isinstance(query, Combined):
         parts = [compile_query(p, column, escape) for p in query.parts]
@@ -157,10 +173,7 @@ def compile_query(query: Query, column: Callable[[str], Column], escape: bool =
     if query.op == "true":
         return c
     if query.op == "match":
-        text = v or ""
-        if escape:
-            text = text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-        return c.ilike(f"%{text}%" if text else "%")
+        return contains(c, v or "", not escape)
     if query.op == "in":
         return c.isin(list(v))
     if v is None:
@@ -194,10 +207,21 @@ class EntityQuery:
         """Rows that equal the prototype in the named properties."""
         return self.where(all_of(*[eq(n, prototype.get(n)) for n in names]))
 
-    def search(self, text: str, **values: Any) -> EntityQuery:
+    def search(self, text: str, wildcards: bool = False, **values: Any) -> EntityQuery:
         """Rows with the text in any string column (any case), or equal to it in a whole-number column if it is a
-        number; and with values, if any. Without a column to search nothing is found."""
-        return self._with(where=(*self.state["where"], _Search(text))).by(**values)
+        number; and with values, if any. Without a column to search nothing is found. With wildcards, % and _ in the text
+        stand for any characters, as in match."""
+        return self._with(where=(*self.state["where"], _Search(text, wildcards))).by(**values)
+
+    def escaped(self, on: bool = True) -> EntityQuery:
+        """Takes % and _ in the texts of match as plain characters."""
+        return self._with(escape=on)
+
+    def refresh(self) -> EntityQuery:
+        """Forgets what Spark holds of the entity's files, so that the next frame reads them as they are now."""
+        for path in {f.rsplit("/", 1)[0] for f in self.entity.source(self.spark).inputFiles()}:
+            self.spark.catalog.refreshByPath(path)
+        return self
 
     def with_id(self, *ids: Any) -> EntityQuery:
         """The row of an id; a composite id has several parts."""
@@ -293,17 +317,19 @@ class EntityQuery:
 @dataclass(frozen=True)
 class _Search:
     text: str
+    wildcards: bool = False
 
     def column(self, joins: _Joins) -> Column:
         tests = []
-        whole = self.text.strip().lstrip("-").isdigit()
+        number = int(self.text) if re.fullmatch(r"\s*-?[0-9]+\s*", self.text) else None
         for f in joins.df.select("root.*").schema:
             c = F.col(f"root.{f.name}")
             if isinstance(f.dataType, T.StringType):
-                tests.append(c.ilike(f"%{self.text}%"))
-            elif whole and isinstance(f.dataType, (T.IntegerType, T.LongType)):
-                if abs(int(self.text)) < 2 ** (31 if isinstance(f.dataType, T.IntegerType) else 63):
-                    tests.append(c == int(self.text))
+                tests.append(contains(c, self.text, self.wildcards))
+            elif number is not None and isinstance(f.dataType, (T.IntegerType, T.LongType)):
+                half = 2 ** (31 if isinstance(f.dataType, T.IntegerType) else 63)
+                if -half <= number < half:
+                    tests.append(c == number)
         return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 

@@ -103,12 +103,14 @@ def _(lineitem):
 @over_tables(
     "float_arith",
     """SELECT o_orderkey, round(o_totalprice + 0.5, 6) AS plus, round(o_totalprice - 1e3, 6) AS minus, round(o_totalprice * 1.5, 6) AS times, round(o_totalprice / 7.0, 6) AS quotient,
-       round(o_totalprice % 100.0, 4) AS rest, CAST(NULL AS DOUBLE) AS by_zero FROM orders""",
+       round(o_totalprice % 100.0, 4) AS rest, CASE o_orderkey % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' ELSE '-Infinity' END AS by_zero,
+       CASE o_orderkey % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN '-Infinity' ELSE 'Infinity' END AS by_minus_zero, 'NaN' AS rest_by_zero FROM orders""",
     "orders",
 )
 def _(orders):
     x = F.col("o_totalprice")
     r = lambda c, n=6: F.round(c, n)
+    signed = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.0)).when(F.col("o_orderkey") % 3 == 1, F.lit(2.5)).otherwise(F.lit(-2.5))
     return orders.select(
         "o_orderkey",
         r(S.float_op("+", x, 0.5)).alias("plus"),
@@ -116,7 +118,9 @@ def _(orders):
         r(S.float_op("*", x, 1.5)).alias("times"),
         r(S.float_op("/", x, 7.0)).alias("quotient"),
         r(S.float_op("%", x, 100.0), 4).alias("rest"),
-        S.float_op("/", x, 0.0).alias("by_zero"),
+        S.float_op("/", signed, 0.0).cast("string").alias("by_zero"),
+        S.float_op("/", signed, F.lit(0.0) * F.lit(-1.0)).cast("string").alias("by_minus_zero"),
+        S.float_op("%", signed, 0.0).cast("string").alias("rest_by_zero"),
     )
 
 
@@ -296,13 +300,25 @@ def _(nation):
     return rows.select("sql_name", S.snake_case(F.col("camel")).alias("other"), S.camel_case(F.col("sql_name")).alias("java_name"))
 
 
+_SHOWN = r"regexp_replace(regexp_replace(printf('%.2f', {}), '(\.[0-9]*?)0+$', '\1'), '\.$', '')"
+
+
 @over_tables(
     "format_float",
-    """SELECT o_orderkey, regexp_replace(regexp_replace(printf('%.2f', CAST(round_even(CAST(o_totalprice / 4 AS DECIMAL(30,6)), 2) AS DOUBLE)), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS shown FROM orders""",
+    f"""SELECT o_orderkey, {_SHOWN.format("o_totalprice / 4")} AS shown, {_SHOWN.format("(o_orderkey % 4000 - 2000) / 8.0::DOUBLE")} AS tie,
+        {_SHOWN.format("(o_orderkey % 2000) / 1000.0::DOUBLE + 0.005::DOUBLE")} AS near, CASE o_orderkey % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN '∞' ELSE '-∞' END AS special FROM orders""",
     "orders",
 )
 def _(orders):
-    return orders.select("o_orderkey", S.format_float(F.col("o_totalprice") / 4).alias("shown"))
+    k = F.col("o_orderkey")
+    special = S.float_op("/", F.when(k % 3 == 0, F.lit(0.0)).when(k % 3 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)), 0.0)
+    return orders.select(
+        "o_orderkey",
+        S.format_float(F.col("o_totalprice") / 4).alias("shown"),
+        S.format_float((k % 4000 - 2000) / F.lit(8.0)).alias("tie"),
+        S.format_float((k % 2000) / F.lit(1000.0) + F.lit(0.005)).alias("near"),
+        S.format_float(special).alias("special"),
+    )
 
 
 @over_tables("hash_sha", "SELECT c_custkey, sha1(c_name) AS sha1, sha256(c_name) AS sha256 FROM customer", "customer")
@@ -433,10 +449,10 @@ def _(events):
 _PRIORITY = "CASE event_type WHEN 'error' THEN 10 WHEN 'purchase' THEN 5 ELSE 0 END"
 
 
-@over_tables("event_priority_order", f"SELECT event_id, {_PRIORITY} AS priority FROM events ORDER BY priority DESC, ts, event_id LIMIT 100", "events")
+@over_tables("event_priority_order", f"SELECT event_id, {_PRIORITY} AS priority, row_number() OVER (ORDER BY {_PRIORITY} DESC, ts, event_id) AS place FROM events", "events")
 def _(events):
     rows = events.select("event_id", F.expr(_PRIORITY).alias("priority"), F.struct("ts", "event_id").alias("seq"))
-    return C.by_priority(rows, "priority").limit(100).select("event_id", "priority")
+    return C.dispatch_order(rows, "priority").select("event_id", "priority", "place")
 
 
 @over_tables(
@@ -450,10 +466,14 @@ def _(events):
     return C.without_same_values(_log(coarse)).select("obj", F.col("seq.event_id"))
 
 
-@over_tables("job_order", f"SELECT event_id, {_PRIORITY} AS priority FROM events WHERE {_PRIORITY} >= 5 AND {_PRIORITY} < 10 ORDER BY priority DESC, ts, event_id LIMIT 50", "events")
+@over_tables(
+    "job_order",
+    f"SELECT event_id, {_PRIORITY} AS priority, row_number() OVER (ORDER BY {_PRIORITY} DESC, ts, event_id) AS place FROM events WHERE {_PRIORITY} >= 5 AND {_PRIORITY} < 10",
+    "events",
+)
 def _(events):
     rows = events.select("event_id", F.expr(_PRIORITY).alias("priority"), F.struct("ts", "event_id").alias("seq"))
-    return C.jobs_in_order(rows, 5, 10).limit(50).select("event_id", "priority")
+    return C.dispatch_order(C.jobs_between(rows, 5, 10), "priority").select("event_id", "priority", "place")
 
 
 @over_tables(

@@ -153,11 +153,11 @@ def _(spark, c):
 @over_catalog(
     "expr_text_query",
     """SELECT o_orderkey, o_totalprice, c_name AS customer_c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey
-       WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 1000 ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 100""",
+       WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 1000 ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey""",
 )
 def _(spark, c):
     orders = c.of(spark, "Order").where('customer.c_mktsegment == "BUILDING" && o_totalprice > 1000')
-    return orders.select("o_totalprice", "customer.c_name").order("-o_totalprice", "o_orderkey").page(0, 100).frame()
+    return orders.select("o_totalprice", "customer.c_name").order("-o_totalprice", "o_orderkey").frame()
 
 
 @over_catalog("search_text", "SELECT * FROM customer WHERE c_name ILIKE '%build%' OR c_mktsegment ILIKE '%build%'")
@@ -374,12 +374,12 @@ def _(customer):
     return setops.merged_results(pick(3, "primary"), pick(2, "other"), ["c_custkey"])
 
 
-_LISTS = """o AS (SELECT DISTINCT l_orderkey AS parent, l_partkey AS child FROM lineitem WHERE l_orderkey % 10 = 0),
+_LISTS = """o AS (SELECT DISTINCT l_orderkey AS parent, l_partkey AS child FROM lineitem),
 n AS (SELECT parent, child FROM o WHERE child % 2 = 1 UNION SELECT parent, child + 1000000 FROM o WHERE child % 5 = 0)"""
 
 
 def _lists(lineitem):
-    old = lineitem.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("child")).distinct()
+    old = lineitem.select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("child")).distinct()
     new = old.where("child % 2 = 1").union(old.where("child % 5 = 0").select("parent", F.col("child") + 1_000_000)).distinct()
     return old, new
 

@@ -36,13 +36,40 @@ def test_strings(spark):
     assert value(spark, S.ellipsis(F.lit("a bc def"), 7, True)) == "a bc..."
     assert [value(spark, S.ellipsis(F.lit("abcdef"), n)) for n in (0, 2, 4, 6)] == ["", "..", "a...", "abcdef"]
     assert value(spark, S.insert_linebreaks(F.lit("aa bb cc dddddddd e"), F.lit(5))) == "aa bb\ncc\ndddddddd\ne"
-    assert [value(spark, S.format_float(F.lit(x))) for x in (2.0, 2.345, 2.5, -0.126)] == ["2", "2.34", "2.5", "-0.13"]
+    assert [value(spark, S.format_float(F.lit(x))) for x in (2.0, 2.345, 2.5, -0.126, -0.001, 0.125, float("nan"), float("inf"))] == ["2", "2.35", "2.5", "-0.13", "-0", "0.12", "NaN", "∞"]
     assert value(spark, S.clean_file_name(F.lit("a b..c!.d."))) == "a_b.c.d"
     assert value(spark, S.salted_hash(F.lit("x"), F.lit(b"salt"), weak=True)).isascii()
-    assert S.url_concat("a/b", "../c", "/d") == "a/c//d" and S.url_concat("", None) is None
+    joined = [(("a/b", "../c", "/d"), "a/c//d"), (("", None), None), (("a", "../../b"), "/b"), (("a/", "b", ""), "a/b"), (("../x", "y"), "../x/y"), (("a/b/c", "../../d"), "a/d")]
+    assert [value(spark, S.url_concat(*x)) for x, _ in joined] == [y for _, y in joined]
     assert value(spark, S.with_element(F.array(F.lit(1), F.lit(2)), 1, F.lit(9))) == [1, 9]
 
 
+def test_floating_point_division_by_zero(spark):
+    show = lambda op, a, b: str(value(spark, S.float_op(op, F.lit(a).cast("double"), F.lit(b).cast("double"))))
+    assert [show("/", a, b) for a, b in ((1.0, 0.0), (-1.0, 0.0), (1.0, -0.0), (0.0, 0.0), (None, 0.0), (1.0, None), (float("inf"), 0.0), (6.0, 4.0))] == ["inf", "-inf", "-inf", "nan", "None", "None", "inf", "1.5"]
+    assert [show("%", a, b) for a, b in ((5.5, 0.0), (5.5, 2.0), (-5.5, 2.0), (None, 0.0))] == ["nan", "1.5", "-1.5", "None"]
+    assert [value(spark, S.compare(F.lit(a), F.lit(b))) for a, b in ((1, 2), (2, 2), (3, 2), ("a", "b"))] == [-1, 0, 1, -1]
+
+
+def test_changes_of_one_key_and_lists_with_nulls(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y")], "id int, name string")
+    assert sorted(map(tuple, dml.updated(base, twice, ["id"]).collect())) == [(1, "y"), (2, "b")]
+    assert sorted(map(tuple, dml.upserted(base, spark.createDataFrame([(2, None), (3, "c")], "id int, name string"), ["id"]).collect()), key=str) == [(1, "a"), (2, None), (3, "c")]
+    lists = spark.createDataFrame([(1, None), (1, 5), (None, 5)], "parent int, child int")
+    assert dml.list_changes(lists, lists, ["parent", "child"]).collect() == []
+    assert [tuple(r) for r in dml.list_changes(lists, lists.where("parent = 1"), ["parent", "child"]).collect()] == [(None, 5, "removed")]
+
+
+def test_jobs_add_jobs_for_so_many_rounds(spark):
+    jobs = spark.createDataFrame([(5, 1), (5, 2), (1, 3)], "priority int, seq long")
+    add = lambda round_: round_.where("seq < 400").select("priority", (F.col("seq") + 100).alias("seq"))
+    done, waiting = C.run_jobs(jobs, add, 2, 9)
+    assert {r.seq: r.round for r in done.collect()} == {100 * k + i: k for k in range(5) for i in (1, 2)} and [r.seq for r in waiting.collect()] == [3]
+    done, waiting = C.run_jobs(jobs.where("seq = 1"), lambda r: r.select("priority", (F.col("seq") + 1).alias("seq")))
+    assert done.count() == C.ROUNDS + 1 and waiting.count() == 1
+
+
 def test_functions_have_policies(spark):
     found = Functions()
 
