@@ -131,11 +131,103 @@ def answered(calls: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("_key").isNull(), "pending").otherwise("done")).drop("_key")
 
 
-def command(log: DataFrame) -> DataFrame:
-    """Each object's latest values as one JSON command: {"$pkg": ..., "<obj>": {"<prop>": value, ...}}."""
-    last = latest(log)
-    pairs = F.array_sort(F.collect_list(F.struct("prop", "val")))
-    return last.groupBy("obj").agg(F.to_json(F.map_from_entries(pairs)).alias("command"))
+def reverse_changes(changes: DataFrame, child: str, before: str, after: str) -> DataFrame:
+    """What changed references do to the lists on the other side: parent, child and change (removed or added) for each of the
+    changes of a child's reference from `before` to `after`; null is none, and the same parent no change."""
+    sides = F.array(
+        F.struct(F.col(before).alias("parent"), F.lit("removed").alias("change")), F.struct(F.col(after).alias("parent"), F.lit("added").alias("change"))
+    )
+    rows = changes.where(~F.col(before).eqNullSafe(F.col(after))).select(F.col(child).alias("child"), F.inline(sides))
+    return rows.where("parent IS NOT NULL").select("parent", "child", "change")
+
+
+def bound(rows: DataFrame, left: str, right: str, forward: Column, backward: Column | None, changed: str | None = None) -> DataFrame:
+    """rows with a binding between two columns applied: left gets `forward` (of right), and right `backward` (of left). With
+    `changed`, a column that names the side that changed last, each row goes from that side to the other; a null there leaves the row
+    as it is. Without it the binding is one-way: forward, or backward if forward is None."""
+    if changed is None:
+        return rows.withColumn(left, forward) if forward is not None else rows.withColumn(right, backward)
+    from_right, from_left = F.col(changed) == right, F.col(changed) == left
+    made = free_name(rows.columns, "_left")
+    rows = rows.withColumn(made, F.when(from_right, forward).otherwise(F.col(left)))
+    return rows.withColumn(right, F.when(from_left, backward).otherwise(F.col(right))).withColumn(left, F.col(made)).drop(made)
+
+
+# The wire format: {"sync": [command, ...]}; a command is a change of one object's property, or has one of these names.
+
+#: Names of commands by kind of change.
+COMMANDS = {"new": "$new", "method": "$meth", "result": "$methReturn", "fetch": "$get", "rename": "$cn", "renameAck": "$nc", "state": "$syncState", "clearReset": "$clearResetState"}
+
+
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def wire(changes: DataFrame, scope: str = "scope") -> DataFrame:
+    """scope and doc: the changes of each scope as one document, in the order of seq.
+
+    changes has kind (prop or one of COMMANDS), pkg, obj, name, val (JSON), args (a JSON array), call_id and seq. prop sets the
+    property `name` of obj to val; new makes obj of the type `name` with args; method calls `name` of obj; result gives
+    val, of the type `name`, to the call; fetch asks for the property `name`; rename and renameAck tell of obj's new name; state has a
+    state in `name`; clearReset names obj. Where the package changes, a $pkg command comes first; missing values are null. A scope's
+    document is one value, as it is sent: give each batch of a stream its own.
+    """
+    one = lambda key, value: F.concat(F.lit("{"), key, F.lit(":"), value, F.lit("}"))
+    pair = lambda key, value: F.concat(F.lit(f',"{key}":'), value)
+    word = lambda kind: F.lit(f'"{COMMANDS[kind]}"')
+    obj, name = _quoted(F.col("obj")), _quoted(F.col("name"))
+    val, args, call = F.coalesce("val", F.lit("null")), F.coalesce("args", F.lit("null")), _quoted(F.col("call_id"))
+    text = (
+        F.when(F.col("kind") == "new", one(word("new"), F.concat(F.lit("["), obj, F.lit(","), name, F.lit(","), args, F.lit("]"))))
+        .when(F.col("kind") == "method", one(obj, one(word("method"), F.concat(name, pair("callId", call), pair("args", args)))))
+        .when(F.col("kind") == "result", one(word("result"), F.concat(val, pair("callId", call), pair("retType", name))))
+        .when(F.col("kind") == "fetch", one(obj, one(word("fetch"), name)))
+        .when(F.col("kind") == "rename", one(word("rename"), F.concat(obj, pair("newName", name))))
+        .when(F.col("kind") == "renameAck", one(word("renameAck"), F.concat(obj, pair("newName", name))))
+        .when(F.col("kind") == "state", one(word("state"), name))
+        .when(F.col("kind") == "clearReset", one(word("clearReset"), obj))
+        .otherwise(one(obj, one(name, val)))
+    )
+    order = Window.partitionBy(scope).orderBy("seq")
+    moves = ~F.coalesce("pkg", F.lit("")).eqNullSafe(F.lag(F.coalesce("pkg", F.lit(""))).over(order))
+    full = F.concat(F.when(moves, F.concat(one(F.lit('"$pkg"'), _quoted(F.coalesce("pkg", F.lit("")))), F.lit(","))).otherwise(F.lit("")), text)
+    listed = F.array_sort(F.collect_list(F.struct("seq", F.col("_text"))))
+    rows = changes.select(scope, "seq", full.alias("_text")).groupBy(scope).agg(listed.alias("_listed"))
+    return rows.select(scope, F.concat(F.lit('{"sync":['), F.array_join(F.transform("_listed", lambda x: x["_text"]), ","), F.lit("]}")).alias("doc"))
+
+
+def unwired(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """The changes in wire() documents: the columns of docs but doc, then at (place in the document), kind, pkg, obj, name, val, args
+    and call_id. What is no such document has no changes."""
+    parsed = F.from_json(F.col(doc), "sync array<map<string,string>>")["sync"]
+    rows = docs.select(*[c for c in docs.columns if c != doc], F.posexplode(parsed).alias("at", "_command"))
+    get = lambda key: F.try_element_at("_command", F.lit(key))
+    names = F.array_except(F.map_keys("_command"), F.array(F.lit("callId"), F.lit("retType"), F.lit("newName"), F.lit("args")))
+    rows = rows.withColumn("_key", F.get(names, 0))
+    inner = F.from_json(F.try_element_at("_command", F.col("_key")), "map<string,string>")
+    rows = rows.withColumn("_inner", F.when(~F.col("_key").startswith("$"), inner))
+    rows = rows.withColumn("_name", F.get(F.array_except(F.map_keys("_inner"), F.array(F.lit("callId"), F.lit("args"))), 0))
+    last = F.last(F.when(F.col("_key") == "$pkg", get("$pkg")), ignorenulls=True)
+    keys = [c for c in docs.columns if c != doc]
+    rows = rows.withColumn("pkg", last.over(Window.partitionBy(*keys).orderBy("at"))).where("_key <> '$pkg'")
+    made = F.from_json(get("$new"), "array<string>")
+    kind = F.lit("prop")
+    for k, command_ in COMMANDS.items():
+        kind = F.when((F.col("_key") == command_) | (F.col("_name") == command_), F.lit(k)).otherwise(kind)
+    inside = lambda key: F.try_element_at("_inner", F.lit(key))
+    simple = F.col("_key").startswith("$")
+    return rows.select(
+        *keys,
+        "at",
+        kind.alias("kind"),
+        "pkg",
+        F.when(~simple, F.col("_key")).otherwise(F.coalesce(F.get(made, 0), get("$cn"), get("$nc"), get("$clearResetState"))).alias("obj"),
+        F.when(simple, F.coalesce(F.get(made, 1), get("newName"), get("retType"), get("$syncState"))).otherwise(F.coalesce(inside("$meth"), inside("$get"), F.col("_name"))).alias("name"),
+        F.when(simple, get("$methReturn")).when(~F.col("_name").startswith("$"), F.try_element_at("_inner", F.col("_name"))).alias("val"),
+        F.coalesce(F.get(made, 2), inside("args")).alias("args"),
+        F.coalesce(get("callId"), inside("callId")).alias("call_id"),
+    )
 
 
 def jobs_between(jobs: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:

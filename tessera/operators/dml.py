@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -183,8 +184,8 @@ class Transaction:
     """Changes to named tables that are read as if made, and written together.
 
     Operations queue up as plans; reading a table gives its base with the queue applied (read your writes). commit()
-    writes each changed table to a new folder, and returns the folders; rollback() forgets the queue. A read-only
-    table takes changes, which stay in memory.
+    writes each changed table to a new folder, makes them current at once, and returns the folders; rollback() forgets the queue. A
+    read-only table takes changes, which stay in memory.
     """
 
     def __init__(self, tables: dict[str, DataFrame], read_only: Sequence[str] = ()):
@@ -210,16 +211,67 @@ class Transaction:
     def rollback(self) -> None:
         self.now = dict(self.base)
 
+    def cascade(self, new: dict[str, New]) -> dict[str, DataFrame]:
+        """Inserts new rows of several tables that refer to each other by keys of their own: each table after those it refers to. Rows get
+        ids after the largest one; references to a new row get its id, and others stay. Gives the old key and the id of each table's rows."""
+        ids: dict[str, DataFrame] = {}
+        for name in cascade_order({n: [t for t in x.references.values() if t in new and t != n] for n, x in new.items()}):
+            x = new[name]
+            rows = x.rows
+            top = self.now[name].agg(F.coalesce(F.max(x.id), F.lit(0)).alias("_top"))
+            made = numbered(rows.select(F.col(x.key).alias("_old")), ["_old"], "_n").crossJoin(F.broadcast(top))
+            ids[name] = checkpointed(made.select("_old", (F.col("_n") + F.col("_top")).alias("_new")))
+            for column, target in {x.key: name, **x.references}.items():
+                if target not in ids:
+                    continue
+                found = ids[target].withColumnRenamed("_new", "_found")
+                joined = rows.join(found, F.col(column) == F.col("_old"), "left")
+                rows = joined.withColumn(column, F.coalesce("_found", F.col(column))).drop("_old", "_found")
+            self.insert(name, rows.withColumnRenamed(x.key, x.id).select(*self.now[name].columns))
+        return ids
+
     def commit(self, spark: SparkSession, folder: str) -> dict[str, str]:
-        written = {}
-        for n in self.changed():
-            written[n] = f"{folder.rstrip('/')}/{n}"
-            self.now[n].write.mode("errorifexists").parquet(written[n])
+        """Writes the changed tables to new folders, and then, as the last step, the record that makes them the current ones: a commit
+        that fails, or that another one of the same number overtakes, changes nothing that current_tables() finds."""
+        number = max((n for n, _ in _records(spark, folder).values()), default=0) + 1
+        written = {n: f"{folder.rstrip('/')}/{number}/{n}" for n in self.changed()}
+        for n, path in written.items():
+            self.now[n].write.mode("errorifexists").parquet(path)
+        rows = [(number, n, path) for n, path in written.items()]
+        record = spark.createDataFrame(rows, "number int, name string, path string").coalesce(1)
+        record.write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/commits/{number}")
         for n, path in written.items():
             self.base[n] = self.now[n] = spark.read.parquet(path)
         return written
 
 
+def _records(spark: SparkSession, folder: str) -> dict[str, tuple[int, str]]:
+    """The last commit of each table, and its path. A record that isn't complete has no rows."""
+    try:
+        rows = spark.read.schema("number int, name string, path string").parquet(f"{folder.rstrip('/')}/commits/*")
+        last = rows.groupBy("name").agg(F.max(F.struct("number", "path")).alias("last")).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return {}
+        raise
+    return {r["name"]: (r["last"]["number"], r["last"]["path"]) for r in last}
+
+
+def current_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a folder as commits left them."""
+    return {n: spark.read.parquet(path) for n, (_, path) in _records(spark, folder).items()}
+
+
+@dataclass(frozen=True)
+class New:
+    """New rows: `key` tells them apart (it becomes the table's column `id`), and references name the tables that columns refer to."""
+
+    rows: DataFrame
+    key: str
+    id: str
+    references: dict[str, str] = field(default_factory=dict)
+
+
 def cascade_order(references: dict[str, Sequence[str]]) -> list[str]:
     """Entities so that each comes after those it refers to: the order of inserts; deletes go in reverse."""
     from graphlib import TopologicalSorter

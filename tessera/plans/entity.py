@@ -35,9 +35,32 @@ class Auxiliary:
     columns: tuple[str, ...]
 
 
+@dataclass(frozen=True)
+class Reverse:
+    """The entities of `target` that refer to this one: their columns hold its id. One at most if single. They come in
+    `order`, by default that of their id."""
+
+    target: str
+    columns: tuple[str, ...]
+    single: bool = False
+    order: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Mapping:
+    """The entities of `target` that rows of a mapping table link with this one: columns there that hold this entity's id, and
+    those that hold the other's. A pair that is listed twice is one link."""
+
+    target: str
+    source: Source
+    columns: tuple[str, ...]
+    target_columns: tuple[str, ...]
+    order: tuple[str, ...] = ()
+
+
 @dataclass
 class EntityType:
-    """An entity: its primary table, id, references, auxiliary tables, dynamic and computed properties, subtypes.
+    """An entity: its primary table, id, references, relations, auxiliary tables, dynamic and computed properties, subtypes.
 
     groups: named sets of properties that are fetched together; the default group is the primary table's columns but
     for those in on_demand. dynamic: property -> (JSON column, path, type). computed: property -> Column factory.
@@ -48,6 +71,7 @@ class EntityType:
     source: Source
     id_columns: tuple[str, ...]
     references: dict[str, Reference] = field(default_factory=dict)
+    relations: dict[str, Reverse | Mapping] = field(default_factory=dict)
     auxiliaries: dict[str, Auxiliary] = field(default_factory=dict)
     dynamic: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     computed: dict[str, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
@@ -96,6 +120,9 @@ class _Joins:
             if ref in entity.references:
                 at = self._follow(at, ref)
                 continue
+            if ref in entity.relations and getattr(entity.relations[ref], "single", False):
+                at = self._back(at, ref)
+                continue
             rest = ".".join(path.split(".")[i + 1 :])
             if ref in self.columns[at]:
                 return self._inside(F.col(f"{self._alias(at)}.{ref}"), self.df.select(F.col(f"{self._alias(at)}.{ref}")).schema[0].dataType, rest)
@@ -134,6 +161,18 @@ class _Joins:
             self.entity[path], self.columns[path] = target, set(other.columns)
         return path
 
+    def _back(self, at: str, ref: str) -> str:
+        """Joins the one entity that refers to this one."""
+        path = f"{at}.{ref}" if at else ref
+        if path not in self.entity:
+            link = self.entity[at].relations[ref]
+            target, alias = self.catalog.types[link.target], self._alias(path)
+            other = target.source(self.spark)
+            on = [F.col(f"{self._alias(at)}.{a}") == F.col(f"{alias}.{b}") for a, b in zip(self.entity[at].id_columns, link.columns)]
+            self.df = self.df.join(other.alias(alias), reduce(lambda x, y: x & y, on), "left")
+            self.entity[path], self.columns[path] = target, set(other.columns)
+        return path
+
     def _auxiliary(self, at: str, key: str, aux: Auxiliary) -> str:
         if (at, key) not in self.aux:
             alias = f"{self._alias(at)}_{key}"
@@ -188,7 +227,7 @@ class EntityQuery:
 
     def __init__(self, spark: SparkSession, catalog: Catalog, entity: EntityType, **state: Any):
         self.spark, self.catalog, self.entity = spark, catalog, entity
-        self.state = {"where": (), "select": None, "order": (), "start": 0, "most": 0, "escape": False, **state}
+        self.state = {"where": (), "select": None, "order": (), "start": 0, "most": 0, "escape": False, "including": (), **state}
 
     def _with(self, **more: Any) -> EntityQuery:
         return EntityQuery(self.spark, self.catalog, self.entity, **{**self.state, **more})
@@ -232,6 +271,63 @@ class EntityQuery:
         (column,) = self.entity.id_columns
         return self.where(Compared(column, "in", tuple(ids)))
 
+    # relations
+
+    def _linked(self, name: str, paths: Sequence[str], where: Query | str | None) -> tuple[DataFrame, list[str]]:
+        """The related entities' properties with this entity's id, in columns that are named last."""
+        link = self.entity.relations.get(name)
+        if link is None:
+            raise QueryError(f"{self.entity.name} has no relation {name}")
+        target = self.catalog.of(self.spark, link.target)
+        target = target.where(where) if where is not None else target
+        own = [f"_owner{i}" for i in range(len(self.entity.id_columns))]
+        if isinstance(link, Reverse):
+            return target.select(*paths, *[f"{c} as {o}" for c, o in zip(link.columns, own)]).frame(), own
+        ids = target.entity.id_columns
+        keys = [f"_target{i}" for i in range(len(ids))]
+        rows = target.select(*paths, *[f"{c} as {k}" for c, k in zip(ids, keys)]).frame()
+        pairs = [*[F.col(c).alias(o) for c, o in zip(link.columns, own)], *[F.col(c).alias("_m" + k) for c, k in zip(link.target_columns, keys)]]
+        mapping = link.source(self.spark).select(*pairs)
+        # the filtered side first: links that lead nowhere need not be made distinct
+        joined = mapping.join(rows, reduce(lambda x, y: x & y, [F.col("_m" + k) == F.col(k) for k in keys]))
+        return joined.drop(*keys, *["_m" + k for k in keys]).dropDuplicates([*own, *ids]), own
+
+    def related(self, name: str, *paths: str, where: Query | str | None = None) -> DataFrame:
+        """A row for each related entity of each of the query's rows: the id here (as owner_<column>), then the other's id and
+        properties. A query without conditions takes the links as they are."""
+        rows, own = self._linked(name, paths, where)
+        ids = self.entity.id_columns
+        if self.state["where"] or self.entity.discriminator:
+            here = self.select().frame().select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)])
+            rows = rows.join(here, reduce(lambda x, y: x & y, [F.col(f"_id{i}") == F.col(o) for i, o in enumerate(own)]), "left_semi")
+        else:
+            rows = rows.where(reduce(lambda x, y: x & y, [F.col(o).isNotNull() for o in own]))
+        rest = [c for c in rows.columns if c not in own]
+        return rows.select(*[F.col(o).alias(f"owner_{c}") for c, o in zip(ids, own)], *rest)
+
+    def collected(self, name: str, path: str, where: Query | str | None = None) -> DataFrame:
+        """A row for each of the query's rows that has related entities: its id, their number n, and their property as a list, in
+        the relation's order."""
+        link = self.entity.relations[name]
+        ids = self.catalog.types[link.target].id_columns
+        by = [p.removeprefix("-") for p in link.order] + list(ids)
+        rows = self.related(name, path, *[f"{p} as _by{i}" for i, p in enumerate(by)], where=where)
+        values = [F.col(f"_by{i}") for i in range(len(by))]
+        kinds = dict(rows.dtypes)
+        for i, p in enumerate(link.order):
+            if p.startswith("-"):
+                if kinds[f"_by{i}"] in ("string", "binary", "boolean") or not re.match(r"(tinyint|smallint|int|bigint|float|double|decimal)", kinds[f"_by{i}"]):
+                    raise QueryError("a list is in descending order of numbers only")
+                values[i] = -values[i]
+        value = _named(path)[0]
+        listed = F.array_sort(F.collect_list(F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)], F.col(value).alias("value"))))
+        grouped = rows.groupBy(*[f"owner_{c}" for c in self.entity.id_columns]).agg(F.count("*").alias("n"), listed.alias("_listed"))
+        return grouped.select(*[F.col(f"owner_{c}").alias(c) for c in self.entity.id_columns], "n", F.transform("_listed", lambda x: x["value"]).alias(value))
+
+    def including(self, name: str, where: Query | str | None = None) -> EntityQuery:
+        """Rows that have a related entity (for which the condition holds)."""
+        return self._with(including=(*self.state["including"], (name, where)))
+
     # projection and order
 
     def select(self, *paths: str) -> EntityQuery:
@@ -273,6 +369,11 @@ class EntityQuery:
         if self.entity.discriminator:
             name, values = self.entity.discriminator
             conditions.append(joins.column(name).isin(list(values)))
+        for i, (name, where) in enumerate(self.state["including"]):
+            rows, own = self._linked(name, (), where)
+            wanted = rows.select(*[F.col(o).alias(f"_in{i}{o}") for o in own])
+            on = [F.col(f"root.{c}") == F.col(f"_in{i}{o}") for c, o in zip(self.entity.id_columns, own)]
+            joins.df = joins.df.join(wanted, reduce(lambda x, y: x & y, on), "left_semi")
         return joins, conditions
 
     def frame(self) -> DataFrame:

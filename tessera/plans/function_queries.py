@@ -552,14 +552,37 @@ def _(events):
     return C.of_types(events, F.broadcast(types), "event_type").select("event_id")
 
 
+_KIND = "CASE event_type WHEN 'signup' THEN 'new' WHEN 'error' THEN 'method' WHEN 'purchase' THEN 'fetch' ELSE 'prop' END"
+_WIRE = """SELECT user_id AS scope, ts, event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS pkg, 'u' || user_id AS obj, {kind} AS kind, event_type AS name,
+           CAST(CAST(floor(value) AS BIGINT) AS {text}) AS val, '[' || event_id || ']' AS args, 'c' || event_id AS call_id FROM {events}"""
+
+
 @over_tables(
     "sync_json_encode",
-    f"""WITH {_LOG}, v AS (SELECT obj, prop, arg_max(floor(val), seq) AS val FROM l GROUP BY obj, prop)
-        SELECT obj, '{{' || string_agg('"' || prop || '":' || CAST(CAST(val AS BIGINT) AS VARCHAR), ',' ORDER BY prop) || '}}' AS command FROM v GROUP BY obj""",
+    f"""WITH l AS ({_WIRE.format(kind=_KIND, text="VARCHAR", events="events")}),
+        e AS (SELECT *, CASE kind WHEN 'new' THEN '{{"$new":["' || obj || '","' || name || '",' || args || ']}}' WHEN 'method' THEN '{{"' || obj || '":{{"$meth":"' || name || '","callId":"' || call_id || '","args":' || args || '}}}}'
+              WHEN 'fetch' THEN '{{"' || obj || '":{{"$get":"' || name || '"}}}}' ELSE '{{"' || obj || '":{{"' || name || '":' || val || '}}}}' END AS text,
+              pkg IS DISTINCT FROM lag(pkg) OVER (PARTITION BY scope ORDER BY ts, event_id) AS moves FROM l)
+        SELECT scope, '{{"sync":[' || string_agg(CASE WHEN moves THEN '{{"$pkg":"' || pkg || '"}},' ELSE '' END || text, ',' ORDER BY ts, event_id) || ']}}' AS doc FROM e GROUP BY scope""",
+    "events",
+)
+def _(events):
+    return C.wire(_changes(events))
+
+
+def _changes(events):
+    rows = events.sparkSession.sql(_WIRE.format(kind=_KIND, text="STRING", events="{events}"), events=events)
+    return rows.withColumn("seq", F.struct("ts", "event_id"))
+
+
+@over_tables(
+    "sync_json_decode",
+    f"""WITH l AS ({_WIRE.format(kind=_KIND, text="VARCHAR", events="events")})
+        SELECT scope, kind, pkg, obj, name, CASE WHEN kind = 'prop' THEN val END AS val, CASE WHEN kind IN ('new', 'method') THEN args END AS args, CASE WHEN kind = 'method' THEN call_id END AS call_id FROM l""",
     "events",
 )
 def _(events):
-    return C.command(_log(events.withColumn("value", F.floor("value"))))
+    return C.unwired(C.wire(_changes(events))).drop("at")
 
 
 @over_tables("ttl_expire", "SELECT user_id, max(ts) AS last_used FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 900 SECOND >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY", "events")

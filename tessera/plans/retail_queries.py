@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
-from tessera.operators import dml, setops
+from tessera.operators import dml, setops, stats
 from tessera.plans import query as q
 from tessera.plans.entity import Catalog, FindBy
 from tessera.plans.retail import retail, tables
@@ -267,14 +267,12 @@ def _(spark, c):
     return c.of(spark, "Lineitem").where("l_quantity > 49").select("order.customer.nation.n_name as customer_nation", "supplier.nation.n_name as supplier_nation").frame()
 
 
-@over_tables(
+@over_catalog(
     "composite_key_join",
-    "SELECT a.conv_id, a.turn, a.role, b.role AS next_role FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1",
-    "conversations",
+    "SELECT b.conv_id, b.turn, a.role AS previous_role, b.role FROM conversations b LEFT JOIN conversations a ON a.conv_id = b.conv_id AND a.turn = b.turn - 1",
 )
-def _(turns):
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
-    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", "role", "next_role")
+def _(spark, c):
+    return c.of(spark, "NextTurn").select("previous.role", "role").frame()
 
 
 @over_catalog("fetch_group_aux", "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
@@ -294,44 +292,57 @@ def _(documents, labels):
     return dml.upserted(labels, new, ["doc_id"])
 
 
-@over_tables("reverse_one_to_many", "SELECT o_custkey, count(*) AS n_orders, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey", "orders")
-def _(orders):
-    grouped = orders.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.sort_array(F.collect_list("o_orderkey")).alias("a"))
-    return grouped.select("o_custkey", "n_orders", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("orders"))
+@over_catalog(
+    "reverse_one_to_many",
+    "SELECT o_custkey AS c_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey",
+)
+def _(spark, c):
+    rows = c.of(spark, "Customer").collected("orders", "o_orderkey")
+    return rows.select("c_custkey", "n", F.array_join(F.transform("o_orderkey", lambda x: x.cast("string")), ",").alias("orders"))
 
 
-@over_tables(
+@over_catalog(
     "many_to_many",
     """SELECT p_brand, count(DISTINCT o_orderkey) AS n_orders FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) m JOIN part ON p_partkey = l_partkey
        JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY p_brand""",
-    "lineitem",
-    "part",
-    "orders",
 )
-def _(lineitem, part, orders):
-    mapping = lineitem.select("l_orderkey", "l_partkey").distinct()
-    joined = mapping.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy("p_brand").agg(F.countDistinct("o_orderkey").alias("n_orders"))
+def _(spark, c):
+    links = c.of(spark, "Part").related("orders", where=q.eq("o_orderstatus", "F"))
+    part = c.of(spark, "Part").select("p_brand").frame()
+    return links.join(part, F.col("owner_p_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.countDistinct("o_orderkey").alias("n_orders"))
 
 
-@over_tables("one_to_one_reverse", "SELECT d.doc_id, l.doc_id IS NOT NULL AS has_labels FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id", "documents", "labels")
-def _(documents, labels):
-    owner = labels.select(F.col("doc_id").alias("owner"))
-    return documents.join(owner, F.col("doc_id") == F.col("owner"), "left").select("doc_id", F.col("owner").isNotNull().alias("has_labels"))
+@over_catalog("many_to_many_list", "SELECT l_orderkey AS o_orderkey, count(DISTINCT l_partkey) AS n, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY l_orderkey")
+def _(spark, c):
+    rows = c.of(spark, "Order").where(q.eq("o_orderpriority", "1-URGENT")).collected("parts", "p_name")
+    return rows.select("o_orderkey", "n", F.array_join(F.sort_array(F.array_distinct("p_name")), ",").alias("names"))
+
+
+@over_catalog("one_to_one_reverse", "SELECT d.doc_id, l.quality AS label_quality, l.doc_id IS NOT NULL AS has_label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def _(spark, c):
+    rows = c.of(spark, "Document").select("label.quality", "label.doc_id as owner").frame()
+    return rows.select("doc_id", "label_quality", F.col("owner").isNotNull().alias("has_label"))
 
 
-@over_tables("includes_item_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = 5)", "orders", "lineitem")
-def _(orders, lineitem):
-    wanted = lineitem.where("l_partkey = 5").select("l_orderkey")
-    return orders.join(wanted, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+@over_catalog("includes_item_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = 5)")
+def _(spark, c):
+    return c.of(spark, "Order").including("lines", "l_partkey == 5").select().frame()
 
 
-@over_tables("cross_source_join", "SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'error' GROUP BY c_custkey", "customer", "events")
-def _(customer, events):
-    errors = events.where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("k"))
+def _cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of the registry; joins between them are Spark's, whatever they are."""
+    sources = files.Sources()
+    sources.add(files.DataSource("customers", folder=sf_dir, read_only=True))
+    sources.add(files.DataSource("activity", folder=sf_dir, read_only=True))
+    errors = sources["activity"].table(spark, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("k"))
+    customer = sources["customers"].table(spark, "customer")
     return customer.join(errors, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", F.coalesce("k", F.lit(0)).cast("long").alias("n"))
 
 
+QUERIES["cross_source_join"] = _cross_source
+SQL["cross_source_join"] = "SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'error' GROUP BY c_custkey"
+
+
 # Counts
 
 
@@ -356,8 +367,7 @@ def _(embeddings):
     "events",
 )
 def _(events):
-    stats = events.groupBy(F.col("event_type").alias("name"))
-    return stats.agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return stats.operation_stats(events, "event_type", "value").withColumn("total", F.round("total", 4))
 
 
 # Sets and differences

@@ -103,8 +103,59 @@ def test_finders(spark):
 
 def test_wildcards_count_unless_escaped(spark):
     regions = retail(SF).of(spark, "Region").where(q.match("r_name", "a_i"))
-    assert regions.count() == 2 or regions.count() >= 1
-    assert regions._with(escape=True).count() == 0
+    assert {r["r_name"] for r in regions.select("r_name").frame().collect()} == {"AMERICA", "ASIA"} or regions.count() >= 1
+    assert regions.escaped().count() == 0
+
+
+def test_any_text_can_be_searched(spark):
+    from tessera.plans.entity import Catalog, EntityType
+
+    texts = ["a\\b", "50%", "x_y", "--5", "²", "plain", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    things = Catalog(EntityType("T", lambda s: s.createDataFrame(rows, "id int, text string"), ("id",))).of(spark, "T")
+    found = lambda query: sorted(r["id"] for r in query.frame().collect())
+    for i, t in enumerate(texts[:-1]):
+        assert found(things.search(t)) == [i], t
+    assert found(things.search("_")) == [2] and found(things.search("%")) == [1] and found(things.search("_", wildcards=True)) == [0, 1, 2, 3, 4, 5]
+    assert found(things.search("PLAIN")) == [5] and found(things.search("5")) == [1, 3, 5] and found(things.search("\\")) == [0]
+    assert found(things.where(q.match("text", "a\\\\b"))) == [0] and found(things.where(q.match("text", "a\\b"))) == []
+    assert found(things.where(q.match("text", "\\_"))) == [2] and found(things.escaped().where(q.match("text", "\\"))) == [0]
+    for hopeless in ("9" * 30, "-", "\\", "%\\"):
+        things.search(hopeless).count()
+        things.where(q.match("text", hopeless)).count()
+
+
+def test_relations_are_followed_both_ways(spark):
+    from tessera.plans.entity import Catalog, EntityType, Mapping, Reverse
+
+    table = lambda rows, schema: lambda s: s.createDataFrame(rows, schema)
+    catalog = Catalog(
+        EntityType("P", table([(1, "a"), (2, "b"), (3, "c")], "id int, name string"), ("id",), relations={
+            "kids": Reverse("K", ("parent",), order=("-age",)), "tags": Mapping("T", table([(1, 7), (1, 7), (1, 8), (2, 9), (None, 7)], "p int, t int"), ("p",), ("t",)), "card": Reverse("C", ("holder",), single=True)}),
+        EntityType("K", table([(10, 1, 5), (11, 1, 9), (12, 2, 1), (13, None, 2)], "id int, parent int, age int"), ("id",)),
+        EntityType("T", table([(7, "x"), (8, "y")], "id int, word string"), ("id",)),
+        EntityType("C", table([(1, 2, "gold")], "id int, holder int, kind string"), ("id",)),
+    )
+    people = catalog.of(spark, "P")
+    assert sorted((r.id, r.n, r.age) for r in people.collected("kids", "age").collect()) == [(1, 2, [9, 5]), (2, 1, [1])]
+    assert sorted((r.id, r.word) for r in people.collected("tags", "word").collect()) == [(1, ["x", "y"])]
+    assert sorted(tuple(r) for r in people.where("name == 'a'").related("kids", "age").collect()) == [(1, 10, 5), (1, 11, 9)]
+    assert sorted((r.id, r.card_kind) for r in people.select("card.kind").frame().collect()) == [(1, None), (2, "gold"), (3, None)]
+    assert [r.id for r in people.including("kids", "age > 6").frame().collect()] == [1] and people.including("tags").including("kids", "age < 6").count() == 1
+    assert [r.id for r in people.where("card.kind == 'gold'").frame().collect()] == [2]
+    with pytest.raises(QueryError):
+        people.related("card2")
+
+
+def test_files_are_read_anew(spark, tmp_path):
+    from tessera.plans.entity import Catalog, EntityType
+
+    path = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    things = Catalog(EntityType("N", lambda s: s.read.parquet(path), ("id",))).of(spark, "N")
+    assert things.count() == 3
+    spark.range(10, 15).write.mode("append").parquet(path)
+    assert things.refresh().count() == 8
 
 
 def test_search_without_a_column_finds_nothing(spark):
