@@ -7,17 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import pretokens
-from tessera.llm.common import pieces, stored
+from tessera.llm.common import packed, pieces, stored, unpacked
 
 #: A block's documents and their frequencies, its units and their pre-tokens (arrays, compressed), and its vocabulary.
 _BLOCK = "block long, keys binary, docs binary, units binary, vocabulary array<string>"
 #: Text of a block, and bits of a slot (block and place in its vocabulary) that are the place.
 BLOCK_BYTES, PLACE = 32 << 20, 24
+#: Pre-tokens whose counts a task remembers, and counts that it holds before it sends them on.
+REMEMBERED, HELD = 1_000_000, 2_000_000
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -26,8 +27,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     Documents are read once, in blocks of about 32 MB: a block holds, for each document, the frequencies of its
     units, and for each distinct unit its pre-tokens, as numbers into the block's own vocabulary. The vocabularies
     are dealt out by pre-token (a word that is everywhere comes once a block, however often it is used), so each distinct
-    pre-token is in one task, which counts its pieces once. The counts return to their blocks in arrays, and each block
-    sums frequency times count by document. No token ids are kept.
+    pre-token is in one task, which counts its pieces once (anew only if it has met very many others in between). The counts
+    return to their blocks in arrays, as they come, and each block sums frequency times count by document. No token
+    ids are kept, and no task holds more than a block or so many counts.
 
     Returns key, n_bytes, n_tokens, over_limit. Null texts count as empty: no bytes, no tokens. Rows are kept as they
     are: repeated rows give repeated results, null ids stay null; other columns are ignored.
@@ -55,37 +57,30 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
         tok = pretokens.tokenizer(path)
         encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
         known: dict[str, int] = {}
-        slots, counts = [], []
+        slots, counts, held = [], [], 0
         for batch in batches:
             tokens = batch.column(0).dictionary_encode()
             names = tokens.dictionary.to_pylist()
+            if len(known) > REMEMBERED:
+                known.clear()
             new = [x for x in names if x not in known]
             known.update(zip(new, (len(x.ids) for x in encode(new, add_special_tokens=False))))
             of = np.fromiter(map(known.__getitem__, names), np.int32, len(names))
             slots.append(batch.column(1).to_numpy())
             counts.append(of[tokens.indices.to_numpy()])
-        if not slots:
-            return
-        slot, count = np.concatenate(slots), np.concatenate(counts)
-        order = np.argsort(slot)
-        slot, count = slot[order], count[order]
-        block = slot >> PLACE
-        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist()
-        places = (slot & ((1 << PLACE) - 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(block[edges[:-1]]),
-                pa.array([places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
-                pa.array([count[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
-            ],
-            ["of", "places", "counts"],
-        )
-
-    found = used.repartition("token").mapInArrow(counted, "of long, places binary, counts binary")
+            held += batch.num_rows
+            if held >= HELD:
+                yield _answer(slots, counts)
+                slots, counts, held = [], [], 0
+        if held:
+            yield _answer(slots, counts)
+
+    found = used.repartition("token").mapInArrow(counted, "of long, counts binary")
 
     def summed(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        places = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in right.column("places").to_pylist())])
-        counts = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in right.column("counts").to_pylist())])
+        lists = [unpacked(x) for x in right.column("counts").to_pylist()]
+        places = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(x, dtype=np.int64) for x, _ in lists)])
+        counts = np.concatenate([np.zeros(0, np.int32), *(x for _, x in lists)])
         pieces_of = np.zeros(len(places), np.int64)
         pieces_of[places] = counts  # each place of the vocabulary occurs once
         return pa.concat_tables([_totals(row, pieces_of, limit) for row in left.to_pylist()])
@@ -99,6 +94,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     return out.withColumnRenamed("key", key)
 
 
+def _answer(slots: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """To each block, the counts of places of its vocabulary."""
+    slot, count = np.concatenate(slots), np.concatenate(counts)
+    order = np.argsort(slot)
+    slot, count = slot[order], count[order]
+    block = slot >> PLACE
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist()
+    places = (slot & ((1 << PLACE) - 1)).astype(np.int32)
+    lists = [packed(np.diff(places[a:b], prepend=np.int32(0)), count[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(lists, pa.binary())], ["of", "counts"])
+
+
 class _Block:
     def __init__(self, path: str):
         self.path, self.size = path, 0
@@ -139,31 +146,15 @@ class _Block:
         filled = [[0 if k is None else k for k in self.keys], [k is not None for k in self.keys], self.n_bytes]
         lengths = [len(x) for x in self.doc_units]
         steps = [np.diff(x, prepend=x[:1] * 0) for x in self.doc_units]
-        packed = [
-            _packed(*(np.array(x, np.int64) for x in filled)),
-            _packed(np.array(lengths, np.int32), np.concatenate(steps), np.concatenate(self.doc_freqs)),
-            _packed(np.array(self.unit_lengths, np.int32), np.array(self.unit_tokens, np.int32)),
+        lists = [
+            packed(*(np.array(x, np.int64) for x in filled)),
+            packed(np.array(lengths, np.int32), np.concatenate(steps), np.concatenate(self.doc_freqs)),
+            packed(np.array(self.unit_lengths, np.int32), np.array(self.unit_tokens, np.int32)),
         ]
-        columns = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([list(self.tokens)], pa.list_(pa.string()))]
+        columns = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in lists), pa.array([list(self.tokens)], pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _BLOCK.split(", ")])
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one type, compressed byte plane by byte plane, after a line of their lengths."""
-    one = np.concatenate(arrays)
-    sizes = ",".join([str(one.dtype.itemsize), *(str(len(x)) for x in arrays)]).encode()
-    turned = np.ascontiguousarray(one.view(np.uint8).reshape(len(one), one.dtype.itemsize).T)
-    return sizes + b"\n" + zstandard.ZstdCompressor(3).compress(turned.tobytes())
-
-
-def _unpacked(raw: bytes) -> list[np.ndarray]:
-    sizes, data = raw.split(b"\n", 1)
-    width, *lengths = map(int, sizes.split(b","))
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
-    one = np.ascontiguousarray(planes.T).view(np.int64 if width == 8 else np.int32).ravel()
-    return np.split(one, np.cumsum(lengths)[:-1])
-
-
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     ends = np.cumsum(lengths)
@@ -171,9 +162,9 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _totals(row: dict, pieces_of: np.ndarray, limit: int) -> pa.Table:
-    keys, valid, n_bytes = _unpacked(row["keys"])
-    lengths, steps, freqs = _unpacked(row["docs"])
-    unit_lengths, unit_tokens = _unpacked(row["units"])
+    keys, valid, n_bytes = unpacked(row["keys"])
+    lengths, steps, freqs = unpacked(row["docs"])
+    unit_lengths, unit_tokens = unpacked(row["units"])
     per_unit = _sums(pieces_of[unit_tokens], unit_lengths)
     at = np.cumsum(steps, dtype=np.int64)
     ends = np.cumsum(lengths)
