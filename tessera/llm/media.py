@@ -21,9 +21,10 @@ RATE = 25
 _CLIPS = "clip int, first_frame int, last_frame int, start_ms long, end_ms long, mean_luma double, change double"
 
 
-# Lossless JPEG (SOF3, predictor 1). A sample is its difference from the sample to the left (in the first column, from
-# above; at the start 128). Differences come in classes: class s has s more bits. Here class s has a Huffman code of
-# 9 - s bits, so that every sample takes 9 bits: frames are coded and decoded as whole arrays.
+# Lossless JPEG (SOF3). A sample is coded as its difference from a prediction: with predictor 1 the sample to the left (in the
+# first column, from above; at the start 128). Differences come in classes: class s has s more bits. Frames written here
+# give class s a Huffman code of 9 - s bits, so that every sample takes 9 bits: frames are coded and decoded as whole arrays.
+# Frames of other writers, with any Huffman tables and predictors, are decoded sample by sample.
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +70,12 @@ def encode_frames(pixels: np.ndarray) -> list[bytes]:
 
 
 def decode_frames(files: list[bytes]) -> np.ndarray:
-    """Pixels of frames of one size that encode_frames() made."""
-    lines, scans = 0, []
-    for f in files:
-        lines, at = _segments(f)
-        scans.append(f[at:-2].replace(b"\xff\x00", b"\xff"))
+    """Pixels (frames x lines x columns x components) of JPEG files of one size."""
+    lines, at = _segments(files[0])
+    head = _header(lines)
+    if at != len(head) or not all(f.startswith(head) for f in files):
+        return np.stack([decode_lossless(f) for f in files])
+    scans = [f[at:-2].replace(b"\xff\x00", b"\xff") for f in files]
     coded = np.frombuffer(b"".join(scans), np.uint8).reshape(len(files), -1, 9).astype(np.uint16)
     codes = np.empty((*coded.shape[:2], 8), np.uint16)
     for i in range(8):
@@ -84,18 +86,123 @@ def decode_frames(files: list[bytes]) -> np.ndarray:
     return np.cumsum(diffs, axis=2, dtype=np.int16).astype(np.uint8)
 
 
-def _segments(file: bytes) -> tuple[int, int]:
-    """Lines of the frame, and where its scan data begin, from the file's marker segments."""
-    at, lines = 2, 0
-    if file[:2] != b"\xff\xd8" or file[-2:] != b"\xff\xd9":
+def _markers(file: bytes) -> Iterator[tuple[int, int, int]]:
+    """Marker, begin and end of the content of each segment up to the end of the image; a scan's data are skipped."""
+    if file[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    while True:
+    at = 2
+    while at + 4 <= len(file):
         marker, size = struct.unpack_from(">HH", file, at)
-        if marker == 0xFFC3:
-            lines = struct.unpack_from(">xHH", file, at + 4)[0]
+        if marker == 0xFFD9:
+            return
+        if marker < 0xFFC0:
+            raise ValueError("a damaged JPEG file")
+        yield marker, at + 4, at + 2 + size
         at += 2 + size
         if marker == 0xFFDA:
-            return lines, at
+            while at + 1 < len(file) and not (file[at] == 0xFF and file[at + 1] not in (0, 0xFF)):
+                at += 1
+
+
+def _segments(file: bytes) -> tuple[int, int]:
+    """Lines of the frame, and where its scan data begin, from the file's marker segments."""
+    lines = 0
+    for marker, begin, end in _markers(file):
+        if marker == 0xFFC3:
+            lines = struct.unpack_from(">xHH", file, begin)[0]
+        if marker == 0xFFDA:
+            return lines, end
+    raise ValueError("a JPEG file without a scan")
+
+
+def _lookup(table: bytes) -> tuple[list[int], list[int]]:
+    """Code length and class by the next 16 bits, of a Huffman table as a file has it."""
+    sizes, classes = [0] * 65_536, [0] * 65_536
+    code, k = 0, 16
+    for size in range(1, 17):
+        for _ in range(table[size - 1]):
+            low = code << (16 - size)
+            high = low + (1 << (16 - size))
+            if high > 65_536 or k >= len(table):
+                raise ValueError("a damaged Huffman table")
+            sizes[low:high], classes[low:high] = [size] * (high - low), [table[k]] * (high - low)
+            code, k = code + 1, k + 1
+        code <<= 1
+    return sizes, classes
+
+
+def decode_lossless(file: bytes) -> np.ndarray:
+    """Lines x columns x components of a lossless JPEG file (SOF3): 8 bits, components without subsampling, one scan or several,
+    any Huffman tables and any of the seven predictors. Restart intervals and point transforms are errors."""
+    tables: dict[int, bytes] = {}
+    names: list[int] = []
+    out = np.zeros((0, 0, 0), np.uint8)
+    for marker, begin, end in _markers(file):
+        if marker == 0xFFC4:
+            while begin < end:
+                n = 16 + sum(file[begin + 1 : begin + 17])
+                tables[file[begin]] = file[begin + 1 : begin + 1 + n]
+                begin += 1 + n
+        elif marker == 0xFFC3:
+            bits, lines, columns, n = struct.unpack_from(">BHHB", file, begin)
+            parts = [file[begin + 6 + 3 * i : begin + 9 + 3 * i] for i in range(n)]
+            if bits != 8 or any(len(x) < 3 or x[1] != 0x11 for x in parts):
+                raise ValueError("a lossless JPEG file of another kind")
+            names, out = [x[0] for x in parts], np.zeros((lines, columns, n), np.uint8)
+        elif marker in (0xFFC0, 0xFFC1, 0xFFC2, 0xFFDD):
+            raise ValueError("not a lossless JPEG file, or one with restarts")
+        elif marker == 0xFFDA:
+            n = file[begin]
+            chosen = [names.index(file[begin + 1 + 2 * i]) for i in range(n)]
+            used = [_lookup(tables[file[begin + 2 + 2 * i] >> 4]) for i in range(n)]
+            predictor, _, shift = file[begin + 1 + 2 * n : begin + 4 + 2 * n]
+            if shift or not 1 <= predictor <= 7:
+                raise ValueError("a lossless JPEG file of another kind")
+            _scan(file, end, out, chosen, used, predictor)
+    if not out.size:
+        raise ValueError("a JPEG file without a frame")
+    return out
+
+
+def _scan(file: bytes, at: int, out: np.ndarray, chosen: list[int], used: list[tuple[list[int], list[int]]], predictor: int) -> None:
+    data = file[at:]
+    stop = next((i for i in range(len(data) - 1) if data[i] == 0xFF and data[i + 1] != 0), len(data))
+    data = data[:stop].replace(b"\xff\x00", b"\xff") + b"\xff" * 8
+    lines, columns = out.shape[:2]
+    held = bits = k = 0
+    above = [[0] * columns for _ in chosen]
+    for y in range(lines):
+        row = [[0] * columns for _ in chosen]
+        for x in range(columns):
+            for c, (sizes, classes) in enumerate(used):
+                while bits < 32:
+                    if k >= len(data):
+                        raise ValueError("a JPEG file that is cut off")
+                    held, bits, k = held << 8 | data[k], bits + 8, k + 1
+                head = held >> (bits - 16) & 0xFFFF
+                if not sizes[head]:
+                    raise ValueError("a code that no table has")
+                bits -= sizes[head]
+                size = classes[head]
+                if size == 16:
+                    difference = 32_768
+                else:
+                    bits -= size
+                    difference = held >> bits & ((1 << size) - 1)
+                    if size and not difference >> (size - 1):
+                        difference += 1 - (1 << size)
+                held &= (1 << bits) - 1
+                left, up, corner = (row[c][x - 1], above[c][x], above[c][x - 1]) if x else (0, above[c][x], 0)
+                if not y:
+                    guess = left if x else 128
+                elif not x:
+                    guess = up
+                else:
+                    guess = (left, up, corner, left + up - corner, left + (up - corner >> 1), up + (left - corner >> 1), left + up >> 1)[predictor - 1]
+                row[c][x] = guess + difference & 0xFF
+        for c, i in enumerate(chosen):
+            out[y, :, i] = row[c]
+        above = row
 
 
 # AVI
@@ -143,33 +250,55 @@ def write_avi(payload: bytes) -> bytes:
 
 
 def read_avi(file: bytes) -> tuple[np.ndarray, int, int]:
-    """Frames (frames x lines x WIDTH x 3), payload length, and microseconds per frame, by the file's own index."""
+    """Frames (frames x lines x columns x components), payload length (all of the frames, unless the INFO list says less), and
+    microseconds per frame. Frames are found by the file's index: idx1, with places from the movi list or from the file's
+    begin, or OpenDML's indx and ix chunks; a file without one is read chunk by chunk."""
     if file[:4] != b"RIFF" or file[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    found: dict[bytes, tuple[int, int]] = {}
+    found: dict[bytes, list[tuple[int, int]]] = {}
+    chunks: list[tuple[int, int]] = []  # of frames, as they lie
 
     def walk(at: int, end: int) -> None:
         while at + 8 <= end:
             name, size = struct.unpack_from("<4sI", file, at)
-            if name == b"LIST":
-                kind = file[at + 8 : at + 12]
-                found[kind] = (at + 8, size)
-                if kind != b"movi":
-                    walk(at + 12, at + 8 + size)
+            if name in (b"LIST", b"RIFF"):
+                found.setdefault(file[at + 8 : at + 12], []).append((at + 8, size))
+                walk(at + 12, min(end, at + 8 + size))
             else:
-                found[name] = (at + 8, size)
+                found.setdefault(name, []).append((at + 8, size))
+                if name[2:] in (b"dc", b"db"):
+                    chunks.append((at + 8, size))
             at += 8 + size + (size & 1)
 
-    walk(12, 8 + struct.unpack_from("<I", file, 4)[0])
-    base, _ = found[b"movi"]
-    at, size = found[b"idx1"]
-    frames = []
-    for name, _, offset, length in struct.iter_unpack("<4sIII", file[at : at + size]):
-        if name == b"00dc":
-            frames.append(file[base + offset + 8 : base + offset + 8 + length])
-    comment_at, comment_size = found[b"ICMT"]
-    payload = int(file[comment_at : comment_at + comment_size].rstrip(b"\0").split(b"=")[1])
-    return decode_frames(frames), payload, struct.unpack_from("<I", file, found[b"avih"][0])[0]
+    walk(0, len(file))
+    places = _indexed(file, found) or chunks
+    comment = next((file[a : a + n].rstrip(b"\0") for a, n in found.get(b"ICMT", []) if file[a : a + 8] == b"payload="), None)
+    frames = [file[a : a + n] for a, n in places if n]
+    if not frames or b"avih" not in found:
+        raise ValueError("an AVI file without frames")
+    pixels = decode_frames(frames)
+    return pixels, int(comment[8:]) if comment else pixels.size, struct.unpack_from("<I", file, found[b"avih"][0][0])[0]
+
+
+def _indexed(file: bytes, found: dict[bytes, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    out = []
+    for at, size in found.get(b"indx", [])[:1]:
+        for i in range(struct.unpack_from("<HBBI", file, at)[3]):
+            where, length, _ = struct.unpack_from("<QII", file, at + 24 + 16 * i)
+            _, _, _, n, _, base, _ = struct.unpack_from("<HBBI4sQI", file, where + 8)
+            for k in range(n):
+                offset, length = struct.unpack_from("<II", file, where + 32 + 8 * k)
+                out.append((base + offset, length & 0x7FFFFFFF))
+    if out:
+        return out
+    for at, size in found.get(b"idx1", [])[:1]:
+        base = found[b"movi"][0][0]
+        for name, _, offset, length in struct.iter_unpack("<4sIII", file[at : at + size - size % 16]):
+            if name[2:] in (b"dc", b"db"):
+                if not out and file[base + offset : base + offset + 4] != name:
+                    base = 0
+                out.append((base + offset + 8, length))
+    return out
 
 
 # Shots
@@ -180,6 +309,8 @@ def shots(pixels: np.ndarray, microseconds: int, window: int = 8, factor: float
     is a difference over `least` that exceeds the median of the `window` differences before it by `factor` of their
     median deviations, which a cut among them hardly moves (the first difference needs `least` alone)."""
     n = len(pixels)
+    if pixels.shape[-1] != 3:  # grey, or more than colours
+        pixels = np.repeat(pixels[..., :1], 3, axis=-1)
     weighted = pixels.reshape(n, -1, 3).astype(np.uint16) @ np.array([77, 150, 29], np.uint16)
     bins = (weighted >> 11).astype(np.int64) + 32 * np.arange(n)[:, None]
     histogram = np.bincount(bins.ravel(), minlength=32 * n).reshape(n, 32) / weighted.shape[1]
@@ -228,7 +359,8 @@ def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 
 def from_media(rows: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """key, payload (binary, as decoded) and clips (timed rows of the shots found) of every media file; null gives nulls."""
+    """key, payload (binary, as decoded) and clips (timed rows of the shots found) of every media file; null gives nulls, and so does a
+    file that can't be read."""
     clip = pa.struct([(x.strip().split(" ")[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[x.strip().split(" ")[1]]) for x in _CLIPS.split(",")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +369,12 @@ def from_media(rows: DataFrame, media: str = "media", key: str = "doc_id") -> Da
                 part = batch.slice(i, 128)
                 payloads, clips = [], []
                 for file in part.column(1).to_pylist():
-                    if file is None:
+                    try:
+                        pixels, n, microseconds = read_avi(file or b"")
+                    except (ValueError, IndexError, KeyError, struct.error):
                         payloads.append(None)
                         clips.append(None)
                         continue
-                    pixels, n, microseconds = read_avi(file)
                     payloads.append(pixels.tobytes()[:n])
                     clips.append(shots(pixels, microseconds))
                 arrays = [*part.columns, pa.array(payloads, pa.binary()), pa.array(clips, pa.list_(clip))]

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -32,6 +33,86 @@ def test_shots_are_cut_where_frames_change():
     assert len(media.shots(dark[:1], 40_000)) == 1
 
 
+def lossless(pixels, predictor, lengths):
+    """A lossless JPEG file, coded sample by sample; class k has a code of lengths[k] bits."""
+    order = sorted(range(len(lengths)), key=lambda k: (lengths[k], k))
+    codes, code, last = {}, 0, 0
+    for k in order:
+        code <<= lengths[k] - last
+        codes[k], last = format(code, f"0{lengths[k]}b"), lengths[k]
+        code += 1
+    lines, columns, n = pixels.shape
+    at = pixels.astype(int)
+    bits = []
+    for y in range(lines):
+        for x in range(columns):
+            for c in range(n):
+                left, up, corner = at[y, x - 1, c], at[y - 1, x, c], at[y - 1, x - 1, c]
+                all_ = [left, up, corner, left + up - corner, left + ((up - corner) >> 1), up + ((left - corner) >> 1), (left + up) >> 1]
+                guess = (128 if x == 0 else left) if y == 0 else up if x == 0 else all_[predictor - 1]
+                d = int(at[y, x, c] - guess)
+                size = abs(d).bit_length()
+                bits.append(codes[size] + (format(d if d > 0 else d + (1 << size) - 1, f"0{size}b") if size else ""))
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    data = bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\x00")
+    counts = bytes(lengths.count(k) for k in range(1, 17))
+    table = b"\xff\xc4" + struct.pack(">HB", 2 + 1 + 16 + len(lengths), 0) + counts + bytes(order)
+    frame = b"\xff\xc3" + struct.pack(">HBHHB", 8 + 3 * n, 8, lines, columns, n) + b"".join(bytes([c, 0x11, 0]) for c in range(n))
+    scan = b"\xff\xda" + struct.pack(">HB", 6 + 2 * n, n) + b"".join(bytes([c, 0]) for c in range(n)) + bytes([predictor, 0, 0])
+    return b"\xff\xd8" + b"\xff\xe0\x00\x04ab" + table + frame + scan + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_frames_of_other_writers_are_decoded(predictor):
+    rng = np.random.default_rng(predictor)
+    pixels = rng.integers(0, 256, (5, 7, 1 + predictor % 3), dtype=np.uint8)
+    # differences of up to 9 or 10 bits occur with the later predictors
+    file = lossless(pixels, predictor, [3, 4, 4, 4, 4, 4, 3, 3, 3, 4, 5])
+    assert (media.decode_lossless(file) == pixels).all() and (media.decode_frames([file, file]) == pixels).all()
+    for damaged in (file[:40], file.replace(b"\xff\xc3", b"\xff\xc0"), b"", file[:-9]):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            media.decode_frames([damaged])
+
+
+def test_own_frames_agree_with_the_general_decoder():
+    pixels = np.random.default_rng(0).integers(0, 256, (2, 3, media.WIDTH, 3), dtype=np.uint8)
+    for file, frame in zip(media.encode_frames(pixels), pixels):
+        assert (media.decode_lossless(file) == frame).all()
+
+
+def test_files_without_an_index_or_with_another_one(spark):
+    payload = np.random.default_rng(5).integers(0, 256, 60 * media.LINE, dtype=np.uint8).tobytes()
+    file = media.write_avi(payload)
+    at = file.index(b"idx1")
+    assert media.read_avi(file[:at])[0].tobytes()[: len(payload)] == payload
+    base = file.index(b"movi")
+    absolute, places = bytearray(file), []
+    for i in range(at + 8, len(file), 16):
+        offset, length = struct.unpack_from("<II", file, i + 8)
+        struct.pack_into("<I", absolute, i + 8, base + offset)
+        places.append((base + offset + 8, length))
+    assert media.read_avi(bytes(absolute))[0].tobytes()[: len(payload)] == payload
+    # an OpenDML file: a super index in the stream's list, an index chunk after the frames
+    ix = struct.pack("<HBBI4sQI", 2, 0, 1, len(places), b"00dc", 0, 0)
+    super_ = struct.pack("<HBBI4s12xQII", 4, 0, 0, 1, b"00dc", 0, 0, 0)
+    grown = len(super_) + 8
+    where = file.index(b"strf") - 0
+    body = file[:where] + b"indx" + struct.pack("<I", len(super_)) + super_ + file[where:at]
+    ix += b"".join(struct.pack("<II", a + grown, n) for a, n in places[::-1])
+    body = bytearray(body)
+    struct.pack_into("<Q", body, where + 8 + 24, len(body))
+    body += b"ix00" + struct.pack("<I", len(ix)) + ix
+    for name in (b"hdrl", b"strl"):
+        i = body.index(name) - 4
+        struct.pack_into("<I", body, i, struct.unpack_from("<I", body, i)[0] + grown)
+    frames = media.read_avi(file)[0]
+    assert (media.read_avi(bytes(body))[0] == frames[::-1]).all()
+    rows = [(1, file), (2, file[:300]), (3, b"RIFF"), (4, None), (5, b""), (6, file.replace(b"\xff\xd8", b"\xff\xd7"))]
+    got = {r.doc_id: r for r in media.from_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert bytes(got[1].payload) == payload and all(got[i].payload is None and got[i].clips is None for i in range(2, 7))
+
+
 def test_media_columns(spark):
     texts = [None, "", "a", "b" * 192, "é日" * 4000, "a"]
     rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(None, "a", "x", "y")]
