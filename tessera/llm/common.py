@@ -47,7 +47,17 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_._tessera_path = path
+    return table_
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes a table that stored() made, when no frame reads it any more."""
+    path, spark = getattr(df, "_tessera_path", None), df.sparkSession
+    if path and hasattr(spark, "_jvm"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_names(columns: list[str], *names: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import forgotten, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,13 +14,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round points every node's larger neighbours, and then its smaller ones, at its smallest neighbour; rounds end
     when nothing changes, after about log(n) of them. Minima are aggregated before the shuffle and joined back, so a
     node with very many links is no single task's work: Spark splits such a join's partition. Every round is a table in
-    the shared folder. Only counts and checksums reach the driver. Links to oneself and repeated links are harmless;
+    the shared folder, in place of the one before. Only counts and checksums reach the driver. Links to oneself and repeated links are harmless;
     an empty table gives an empty result.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = _checksum(edges)
     while seen[0]:
-        edges = stored(_small_star(_large_star(edges)))
+        before, edges = edges, stored(_small_star(_large_star(edges)))
+        forgotten(before)
         now = _checksum(edges)
         if now == seen:
             break
