@@ -1,5 +1,8 @@
 import ast
 import os
+import shutil
+import subprocess
+import sys
 
 import __spark_entry__ as entry
 
@@ -11,6 +14,14 @@ def test_every_sql_has_a_query_and_the_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_the_entry_works_without_the_corpus_operators(tmp_path):
+    ignored = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py")
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=ignored)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries() if n != 'order_by_multi'))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 100 and out[0] == out[1] and out[2] == "False"
+
+
 def test_nothing_else_imports_the_corpus_operators():
     for folder, _, names in os.walk(os.path.join(ROOT, "tessera")):
         if os.path.basename(folder) == "llm":
