@@ -23,7 +23,7 @@ BLOCK_BYTES, SEGMENT, SHARD_BYTES = 16 << 20, 1 << 19, 1 << 20
 #: Contexts of one anchor that meet in one shard at most; more are dealt out as pairs of blocks.
 CONTEXTS = 10_000
 #: Text of the corpus whose lists of anchors, and whose contexts, one group gets: groups grow in number, not in size.
-LISTED_TEXT, SENT_TEXT = 96 << 20, 32 << 20
+LISTED_TEXT, SENT_TEXT = 96 << 20, 16 << 20
 _BLOCK = "block long, keys binary, texts binary, size long"
 
 

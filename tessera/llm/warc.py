@@ -53,7 +53,7 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
 
     Each record is a gzip member of its own, so that an index's offset and length are all that is needed to read it; an archive
     ends with an empty member. Spark's text writer makes the files, a row and its line end for each, so tasks commit whole
-    files in any file system that Spark writes to. Only ids and digests are shuffled to find the revisits; payloads stay
+    files wherever Spark can write. Only ids and digests are shuffled to find the revisits; payloads stay
     where they are read, unless the revisits are too many to be sent to all tasks.
     """
     rows = pages.select(
