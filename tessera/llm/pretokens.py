@@ -6,8 +6,10 @@ expression finds the units; any other text goes through the library as a whole,
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,3 +53,25 @@ def between_specials(text: str, path: str) -> tuple[list[str], list[str]]:
 def library_pretokens(text: str, path: str) -> list[str]:
     """The pieces of text (without special strings) that the tokenizer's own splitter makes."""
     return [text[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(text)]
+
+
+#: ASCII marks that end a pre-token of letters and stand together as one; an apostrophe may begin an ending of its own.
+_MARKS = string.punctuation.replace("'", "")
+
+
+@lru_cache(maxsize=8)
+def whole_words(path: str) -> bool:
+    """Whether the tokenizer's splitter is the usual one of byte-level vocabularies: a word of letters alone, with or without a
+    space before it, is one pre-token, and a run of marks after it another."""
+    with open(path, encoding="utf-8") as f:
+        splitter = json.load(f)["pre_tokenizer"] or {}
+    return splitter.get("type") == "ByteLevel" and bool(splitter.get("use_regex")) and not splitter.get("add_prefix_space")
+
+
+def unit_pretokens(unit: str, path: str) -> list[str]:
+    """The pre-tokens of a unit of a plain text."""
+    if whole_words(path):
+        head = unit.rstrip(_MARKS)
+        if head.removeprefix(" ").isalpha():
+            return [unit] if len(head) == len(unit) else [head, unit[len(head) :]]
+    return library_pretokens(unit, path)

@@ -120,6 +120,7 @@ class _Block:
 
     def add(self, keys: pa.Array, texts: list[bytes]) -> None:
         units, tokens, path = self.units, self.tokens, self.path
+        specials_of = frozenset(pretokens.special_strings(path))
         for raw in texts:
             whole = raw.decode()
             if pretokens.plain(whole, path):
@@ -128,9 +129,10 @@ class _Block:
                 stretches, specials = pretokens.between_specials(whole, path)
                 counter = Counter(x for s in stretches if s for x in pretokens.library_pretokens(s, path))
                 counter.update(specials)
+            split_unit = pretokens.unit_pretokens if pretokens.PLAIN(whole) else pretokens.library_pretokens
             for unit in [x for x in counter if x not in units]:
                 units[unit] = len(units)
-                split = [unit] if unit in pretokens.special_strings(path) else pretokens.library_pretokens(unit, path)
+                split = [unit] if unit in specials_of else split_unit(unit, path)
                 self.unit_tokens.extend([tokens.setdefault(x, len(tokens)) for x in split])
                 self.unit_lengths.append(len(split))
             n = len(counter)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, packing, token_counts
+from tessera.llm import bpe, packing, pretokens, token_counts
 from tessera.llm.queries import tokenizer_path
 
 BYTES, WORDS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
@@ -57,6 +57,14 @@ def test_ids_and_decoded_texts_agree_with_the_library(docs):
     assert bpe.encoding_digests(docs.limit(0), BYTES).collect() == []
 
 
+def test_units_are_split_as_the_library_does():
+    rng = random.Random(8)
+    plain = [chr(c) for c in [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x180)]]
+    for _ in range(20_000):
+        unit = rng.choice(["", " "]) + "".join(rng.choice("abcé" if rng.random() < 0.7 else plain) for _ in range(rng.randint(1, 6))) + "".join(rng.choice(".,!'\"-)") for _ in range(rng.randint(0, 3)))
+        assert pretokens.unit_pretokens(unit, BYTES) == pretokens.library_pretokens(unit, BYTES), unit
+
+
 def test_merges_of_random_texts():
     rng, tok, coder = random.Random(1), Tokenizer.from_file(BYTES), bpe.BytePairs(BYTES)
     for _ in range(1500):
