@@ -40,9 +40,6 @@ class BytePairs:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
         #: By a pair of ids (left in the high bits): the merge's rank in the high bits, and the id that it makes.
         self.merges = {vocabulary[a] << 32 | vocabulary[b]: rank << 32 | vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
-        splitter = model["pre_tokenizer"] or {}
-        #: Whether a word of letters alone, with or without a space before it, is one pre-token.
-        self.whole_words = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
         of = {c: b for b, c in enumerate(symbols)}
         self.strings = {i: bytes(of[c] for c in s) for s, i in vocabulary.items() if all(c in of for c in s)}
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
@@ -59,40 +56,47 @@ class BytePairs:
         n, find = len(ids), self.merges.get
         if n == 1:
             return ids
-        queue = []
-        for i in range(n - 1):
-            if (found := find(ids[i] << 32 | ids[i + 1])) is not None:
-                queue.append(found >> 32 << 32 | i)
+        pairs = [find(a << 32 | b) for a, b in zip(ids, ids[1:])]  # by place: what the pair that begins there makes
+        queue = [found >> 32 << 32 | i for i, found in enumerate(pairs) if found is not None]
         heapify(queue)
+        pairs.append(None)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
             i = entry & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or ids[i] < 0:
-                continue
-            found = find(ids[i] << 32 | ids[j])
+            found = pairs[i]
             if found is None or found >> 32 != entry >> 32:
                 continue
+            j = after[i]
             new = ids[i] = found & 0xFFFFFFFF
-            ids[j] = -1
+            ids[j], pairs[j] = -1, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (found := find(new << 32 | ids[k])) is not None:
+                found = pairs[i] = find(new << 32 | ids[k])
+                if found is not None:
                     heappush(queue, found >> 32 << 32 | i)
+            else:
+                pairs[i] = None
             h = before[i]
-            if h >= 0 and (found := find(ids[h] << 32 | new)) is not None:
-                heappush(queue, found >> 32 << 32 | h)
+            if h >= 0:
+                found = pairs[h] = find(ids[h] << 32 | new)
+                if found is not None:
+                    heappush(queue, found >> 32 << 32 | h)
         return [i for i in ids if i >= 0]
 
     def unit(self, unit: str) -> bytes:
-        """Ids of a unit as little-endian 32-bit integers."""
-        if self.whole_words and unit.removeprefix(" ").isalpha():
-            out = self.merged(unit.encode())
-        else:
-            out = [i for x in pretokens.library_pretokens(unit, self.path) for i in self.merged(x.encode())]
-        return struct.pack(f"<{len(out)}I", *out)
+        """Ids of a unit as little-endian 32-bit integers. Words are remembered apart from the marks that follow them."""
+        memory, out = self.memory, []
+        for x in pretokens.unit_pretokens(unit, self.path):
+            found = memory.get(x) if x is not unit and x.removeprefix(" ").isalpha() else None
+            if found is None:
+                ids = self.merged(x.encode())
+                found = struct.pack(f"<{len(ids)}I", *ids)
+                if x.removeprefix(" ").isalpha():
+                    memory[x] = found
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers; special strings in it become their ids."""
@@ -100,7 +104,7 @@ class BytePairs:
             stretches, specials = pretokens.between_specials(text, self.path)
             out = []
             for i, s in enumerate(stretches):
-                out += [self.unit(s)] if s else []
+                out += [self.whole(s)] if s else []
                 out += [np.array([self.special[specials[i]]], "<u4").tobytes()] if i < len(specials) else []
             return b"".join(out)
         memory, units = self.memory, pretokens.UNITS(text)
@@ -110,6 +114,11 @@ class BytePairs:
             memory[x] = self.unit(x)
         return b"".join(map(memory.__getitem__, units))
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text without special strings, whose pre-tokens are the library's."""
+        out = [i for x in pretokens.library_pretokens(text, self.path) for i in self.merged(x.encode())]
+        return struct.pack(f"<{len(out)}I", *out)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
