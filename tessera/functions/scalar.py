@@ -1,13 +1,14 @@
-"""Scalar functions as Column expressions; all stay in generated code, but for insert_linebreaks()."""
+"""Functions as Column expressions; all stay in generated code, but for insert_linebreaks(), geometric_mean() and split_rows()."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 
 def _c(x) -> Column:
@@ -284,6 +285,21 @@ def format_float(x: Column) -> Column:
     return F.call_function("format_number", x.cast("double"), F.lit("#.##"))
 
 
+@F.pandas_udf(DoubleType())
+def geometric_mean(x: pd.Series) -> float:
+    """A user's own aggregate: the geometric mean of a group's positive numbers, nulls left out."""
+    return float(np.exp(np.log(x.dropna()).mean()))
+
+
+@F.udtf(returnType=StructType().add("place", IntegerType()).add("word", StringType()))
+class split_rows:  # noqa: N801  used as a function
+    """A user's own table function: a row for each part of a text between plain separators."""
+
+    def eval(self, text: str, separator: str):
+        for i, part in enumerate(text.split(separator) if text is not None else ()):
+            yield i, part
+
+
 # Paths and names
 
 

@@ -8,6 +8,8 @@ from tessera.functions import patterns
 from tessera.functions import scalar as S
 from tessera.functions.registry import UserFunction
 from tessera.operators import changes as C
+from tessera.operators import dml, joins
+from tessera.plans import ddl
 from tessera.plans.retail_queries import over_tables
 from tessera.sources import files
 
@@ -600,3 +602,145 @@ def _(events):
 def _(events):
     results = events.where("event_id % 3 = 0").select("event_id", F.col("value").alias("result"))
     return C.answered(events.where("event_type = 'view'").select("event_id"), results, "event_id").select("event_id", "result", "state")
+
+
+# Joins by nearness and ranges, aggregates and sets
+
+
+@over_tables(
+    "as_of_join",
+    """WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
+       SELECT event_id, o_orderkey AS last_order FROM events ASOF LEFT JOIN o ON user_id = o_custkey AND ts >= o_orderdate""",
+    "events",
+    "orders",
+)
+def _(events, orders):
+    last = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate"), F.col("o_orderkey").alias("last_order"))
+    return joins.as_of(events.select("event_id", "user_id", "ts"), last, ["user_id"], "ts", "o_orderdate", ["last_order"]).select("event_id", "last_order")
+
+
+@over_tables(
+    "range_join",
+    "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_acctbal BETWEEN n_nationkey * 400.0 - 1000.0 AND n_nationkey * 400.0 - 300.0",
+    "customer",
+    "nation",
+)
+def _(customer, nation):
+    bands = nation.select("n_nationkey", (F.col("n_nationkey") * 400.0 - 1000.0).alias("low"), (F.col("n_nationkey") * 400.0 - 300.0).alias("high"))
+    return joins.in_ranges(customer, bands, "c_acctbal", "low", "high", 700).select("c_custkey", "n_nationkey")
+
+
+@over_tables(
+    "aggregate_cube",
+    """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high, count(DISTINCT o_custkey) AS customers,
+       CAST(GROUPING(o_orderstatus) * 2 + GROUPING(o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
+    "orders",
+)
+def _(orders):
+    cube = orders.cube("o_orderstatus", "o_orderpriority")
+    return cube.agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("o_totalprice"), 2).alias("total"),
+        F.min("o_totalprice").alias("low"),
+        F.max("o_totalprice").alias("high"),
+        F.countDistinct("o_custkey").alias("customers"),
+        F.grouping_id().cast("long").alias("level"),
+    )
+
+
+@over_tables(
+    "set_operations",
+    """SELECT k, 'both' AS part FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL
+       SELECT k, 'customer' FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT k, 'any' FROM (SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders)""",
+    "customer",
+    "orders",
+)
+def _(customer, orders):
+    a, b = customer.select(F.col("c_custkey").alias("k")), orders.select(F.col("o_custkey").alias("k"))
+    named = ((a.intersect(b), "both"), (a.subtract(b), "customer"), (a.union(b).distinct(), "any"))
+    parts = [rows.withColumn("part", F.lit(name)) for rows, name in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@over_tables("user_aggregate", "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 4) AS middle FROM part GROUP BY p_brand", "part")
+def _(part):
+    return part.groupBy("p_brand").agg(F.round(S.geometric_mean("p_retailprice"), 4).alias("middle"))
+
+
+@over_tables("user_table_function", "SELECT c_custkey, generate_subscripts(parts, 1) - 1 AS place, unnest(parts) AS word FROM (SELECT c_custkey, string_split(c_name || '#' || c_mktsegment, '#') AS parts FROM customer)", "customer")
+def _(customer):
+    text = customer.select("c_custkey", F.concat("c_name", F.lit("#"), "c_mktsegment").alias("text"))
+    return text.lateralJoin(S.split_rows(F.col("text").outer(), F.lit("#"))).select("c_custkey", F.col("place").cast("long").alias("place"), "word")
+
+
+@over_tables("compare_values", "SELECT c_custkey, CASE WHEN c_custkey % 25 < c_nationkey THEN -1 WHEN c_custkey % 25 > c_nationkey THEN 1 ELSE 0 END AS by_number, CASE WHEN c_name < c_mktsegment THEN -1 WHEN c_name > c_mktsegment THEN 1 ELSE 0 END AS by_text FROM customer", "customer")
+def _(customer):
+    return customer.select("c_custkey", S.compare(F.col("c_custkey") % 25, F.col("c_nationkey")).alias("by_number"), S.compare(F.col("c_name"), F.col("c_mktsegment")).alias("by_text"))
+
+
+@over_tables("type_counts", "SELECT event_type AS type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type", "events")
+def _(events):
+    return C.type_counts(events.select(F.col("event_type").alias("type"), F.col("user_id").alias("obj")))
+
+
+@over_tables(
+    "binding_both_ways",
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN p_retailprice / 2 ELSE p_size * 1.0 END AS net, CASE WHEN p_partkey % 3 = 0 THEN p_size * 2.0 ELSE p_retailprice END AS gross FROM part",
+    "part",
+)
+def _(part):
+    side = F.when(F.col("p_partkey") % 3 == 0, "net").when(F.col("p_partkey") % 3 == 1, "gross")
+    rows = part.select("p_partkey", F.col("p_size").cast("double").alias("net"), F.col("p_retailprice").alias("gross"), side.alias("changed"))
+    return C.bound(rows, "net", "gross", F.col("gross") / 2, F.col("net") * 2, "changed").drop("changed")
+
+
+@over_tables(
+    "reverse_changes",
+    """WITH m AS (SELECT o_orderkey, o_custkey AS was, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN o_custkey ELSE o_custkey + 1 END AS now FROM orders)
+       SELECT was AS parent, o_orderkey AS child, 'removed' AS change FROM m WHERE was IS DISTINCT FROM now UNION ALL SELECT now, o_orderkey, 'added' FROM m WHERE was IS DISTINCT FROM now AND now IS NOT NULL""",
+    "orders",
+)
+def _(orders):
+    now = F.when(F.col("o_orderkey") % 3 == 1, F.col("o_custkey")).when(F.col("o_orderkey") % 3 == 2, F.col("o_custkey") + 1)
+    return C.reverse_changes(orders.select("o_orderkey", F.col("o_custkey").alias("was"), now.alias("now")), "o_orderkey", "was", "now")
+
+
+@over_tables(
+    "json_classes",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Done' WHEN o_orderstatus = 'O' THEN 'Open' ELSE 'Other' END AS class, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS price, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS priority FROM orders",
+    "orders",
+)
+def _(orders):
+    doc = F.when(F.col("o_orderstatus") == "F", F.to_json(F.struct(F.lit("Done").alias("class"), F.col("o_totalprice").alias("price"))))
+    doc = doc.when(F.col("o_orderstatus") == "O", F.to_json(F.struct(F.lit("Open").alias("class"), F.col("o_orderpriority").alias("priority")))).otherwise(F.lit('{"class":"Other"}'))
+    rows = orders.select("o_orderkey", files.typed_json(doc, {"Done": "price double", "Open": "priority string"}).alias("v"))
+    return rows.select("o_orderkey", "v.class", "v.Done.price", "v.Open.priority")
+
+
+_ALTERS = """ALTER TABLE customer ADD COLUMN c_state text DEFAULT 'new'; ALTER TABLE customer ALTER COLUMN c_nationkey TYPE text; ALTER TABLE customer RENAME COLUMN c_name TO c_title;
+ALTER TABLE customer DROP COLUMN c_mktsegment; ALTER TABLE customer ALTER COLUMN c_acctbal SET NOT NULL; ALTER TABLE customer ADD CONSTRAINT named CHECK (length(c_title) > 0)"""
+
+
+@over_tables("ddl_alter", "SELECT c_custkey, c_name AS c_title, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal, 'new' AS c_state FROM customer", "customer")
+def _(customer):
+    return ddl.applied(customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), ddl.parse(_ALTERS))
+
+
+@over_tables(
+    "tx_cascade",
+    """WITH c AS (SELECT r_regionkey AS k, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY -1 - r_regionkey) AS id FROM region)
+       SELECT c_custkey AS id, c_name AS name, 0 AS orders FROM customer UNION ALL SELECT id, 'NEW_' || k, 1 FROM c""",
+    "customer",
+    "orders",
+    "region",
+)
+def _(customer, orders, region):
+    base = {"c": customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "o": orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"))}
+    tx = dml.Transaction(base)
+    key = (F.lit(-1) - F.col("r_regionkey")).cast("long")
+    made = region.select(key.alias("key"), F.concat(F.lit("NEW_"), F.col("r_regionkey").cast("string")).alias("name"))
+    lines = region.select((key - 100).alias("key"), key.alias("owner"))
+    tx.cascade({"o": dml.New(lines, "key", "id", {"owner": "c"}), "c": dml.New(made, "key", "id")})
+    top = orders.agg(F.max("o_orderkey").alias("_top"))
+    new = tx.read("o").crossJoin(F.broadcast(top)).where("id > _top").groupBy(F.col("owner").alias("_of")).agg(F.count("*").alias("orders"))
+    return tx.read("c").join(new, F.col("id") == F.col("_of"), "left").select("id", "name", F.coalesce("orders", F.lit(0)).cast("int").alias("orders"))
