@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Each
-works on all rows that the stage before it kept.
+works on all rows that the stage before it kept. docs has doc_id, text and source; other columns, of whatever name, come
+along as they are (n_chars anew where a text is cut). A null or empty text fails the first stage; null ids are kept, and come last
+where documents are ordered, as the largest long does; repeated rows stay until the second stage, which keeps one; an
+empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -14,18 +17,22 @@ from tessera.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the rules, by themselves or with their host's verdict (operator 5)."""
     return quality.good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each class of near duplicates (operator 2)."""
     return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 100 bytes or more that an earlier document has (operator 7); all rows stay."""
     return passages.without_passages(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' token pieces in sequences (operator 4)."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
