@@ -1,4 +1,4 @@
-"""What the operators share: Arrow batches as bytes, tables in the shared folder, block pairs."""
+"""What the operators share: Arrow batches as bytes, tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -135,25 +135,3 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 def _piece(batch: pa.RecordBatch, texts: pa.Array, begin: int, end: int) -> tuple[pa.RecordBatch, list[bytes]]:
     part = texts.slice(begin, end - begin).cast(pa.binary())
     return batch.slice(begin, end - begin), [x or b"" for x in part.to_pylist()]
-
-
-def block_pairs(df: DataFrame, key: list[str], salt: Column, size: Column, limit: int) -> DataFrame:
-    """Deals the rows of each key to groups that fit a task, so that any two rows of a key share a group.
-
-    A key with up to `limit` rows (`size` has the count) is one group. A larger one is cut by `salt` into
-    blocks, and each pair of blocks is a group: no key is cut off, whatever its size.
-    Adds _blocks (blocks of the key), _block (of the row) and _pair (the group within the key).
-    """
-    blocks = F.ceil(size / F.lit(limit)).cast("int")
-    df = df.withColumn("_blocks", F.greatest(blocks, F.lit(1))).withColumn("_block", F.pmod(salt, F.col("_blocks")).cast("int"))
-    return df.withColumn(
-        "_pair",
-        F.explode(
-            F.when(F.col("_blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-                F.transform(
-                    F.sequence(F.lit(0), F.col("_blocks") - 1),
-                    lambda j: F.least(j, F.col("_block")).cast("long") * F.col("_blocks") + F.greatest(j, F.col("_block")),
-                )
-            )
-        ),
-    )

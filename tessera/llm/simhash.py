@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, block_pairs, free_names, id_key, pieces, stored, text_tie
+from tessera.llm.common import NULL_ID, free_names, id_key, pieces, stored, text_tie
 from tessera.llm.components import components
 
-#: Rows of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
+#: Rows of a bucket that one task compares; larger buckets are cut into blocks.
 BLOCK = 16_384
 #: Up to so many rows of a bucket are compared by shifts, all buckets at once.
 SMALL = 128
@@ -22,7 +22,7 @@ SMALL = 128
 STEP = 8
 #: Large buckets that are sent to all executors at most; more of them are joined by a shuffle.
 BROADCAST = 10_000
-#: Text of a coarse class that one task compares by shingles; larger ones are dealt out as pairs of blocks.
+#: Text of a coarse class that one task compares by shingles; larger ones are cut into blocks.
 SET_BYTES = 16 << 20
 
 
@@ -292,39 +292,136 @@ def near_classes(prints: DataFrame, keys: list[Column], radius: int) -> DataFram
     """The rows of fingerprints() with component_id (the smallest id reachable by links of `radius` differing bits or fewer).
 
     Rows of equal fingerprints are one node, named by its smallest id and aggregated before the shuffle, so exact copies
-    never meet in a bucket. Nodes that share a key are compared within that bucket by task; a bucket of more than
-    BLOCK nodes is dealt out as pairs of blocks. Tasks emit a spanning forest of the links they find, not the links.
+    never meet in a bucket. Nodes that share a key are compared within that bucket by task.
+    A bucket of more than BLOCK nodes is cut into blocks twice (two_cuts), and what these leave apart is compared across
+    them (outside_pairs). Tasks emit a spanning forest of the links they find, not the links.
     """
     words = [c for c in prints.columns if c not in ("id", "tie")]
-    nodes = stored(prints.groupBy(*words).agg(F.min("id").alias("node")))
-    keyed = nodes.withColumn("key", F.explode(F.array(*keys)))
+    nodes = prints.groupBy(*words).agg(F.min("id").alias("node")).withColumn("root", F.col("node"))
+    named = _linked_by(stored(nodes), keys, radius, words)
+    named = named.select(*[F.col(w).alias(f"_{w}") for w in words], F.col("root").alias("component_id"))
+    match = [F.col(w) == F.col(f"_{w}") for w in words]
+    return prints.join(named, match).drop(*[f"_{w}" for w in words])
+
+
+def _linked_by(named: DataFrame, keys: list[Column], radius: int, words: list[str]) -> DataFrame:
+    """named (node, root: itself, words) with the roots that the links in the buckets of keys give."""
+    keyed = named.withColumn("key", F.explode(F.array(*keys)))
     large = stored(keyed.groupBy("key").count().where(F.col("count") > BLOCK))
     many = large.limit(BROADCAST + 1).count()
     if many:
-        large = large.select(F.col("key").alias("_key"), "count")
-        keyed = keyed.join(F.broadcast(large) if many <= BROADCAST else large, F.col("key") == F.col("_key"), "left")
-        keyed = block_pairs(keyed, ["key"], F.xxhash64(*words), F.coalesce("count", F.lit(1)), BLOCK)
+        large = large.select(F.col("key").alias("_bucket"), F.ceil(F.col("count") / BLOCK).alias("_blocks"))
+        large = F.broadcast(large) if many <= BROADCAST else large
+        blocks = keyed.join(large, F.col("key") == F.col("_bucket"), "left")
+        blocks = blocks.withColumn("_pair", two_cuts(F.coalesce("_blocks", F.lit(1))))
     else:
-        keyed = keyed.withColumn("_pair", F.lit(0).cast("long"))
+        blocks = keyed.withColumn("_pair", F.lit(0).cast("long"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_groups(batches):
-            key, pair, node = (part.column(c).to_numpy() for c in ("key", "_pair", "node"))
+            key, pair, root, core = (part.column(c).to_numpy() for c in ("key", "_pair", "root", "_inside"))
             rows = np.stack([part.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-            change = (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
-            group = np.concatenate([[0], np.cumsum(change)])
-            root = linked(rows, group, radius)
-            other = np.flatnonzero(root != np.arange(len(root)))
-            found = np.unique(np.stack([node[other], node[root[other]]], axis=1), axis=0) if len(other) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    dealt = keyed.select("key", "_pair", "node", *words).repartition("key", "_pair").sortWithinPartitions("key", "_pair")
-    roots = components(dealt.mapInArrow(compared, "a long, b long"))
-    named = nodes.join(roots, "node", "left").select(
-        *[F.col(w).alias(f"_{w}") for w in words], F.coalesce("root", "node").alias("component_id")
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
+            sizes = np.diff(np.append(starts, len(key)))
+            group = np.repeat(np.arange(len(starts)), sizes)
+            names, at = np.unique(root, return_inverse=True)
+            sets = Sets(len(names))
+            apart = np.minimum.reduceat(at, starts) < np.maximum.reduceat(at, starts)
+            with_core = np.logical_or.reduceat(core, starts)
+            some = np.flatnonzero((apart & ~with_core)[group])
+            sets.link(at[some], at[some[linked(rows[some], group[some], radius)]])
+            for g in np.flatnonzero(apart & with_core).tolist():
+                here = slice(starts[g], starts[g] + sizes[g])
+                _link_to_core(rows[here], core[here], at[here], sets, radius)
+            yield _links(names, names[sets.root])
+
+    def links(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("key", "_pair", "_inside", "root", *words).repartition("key", "_pair").sortWithinPartitions("key", "_pair")
+        return components(contracted(dealt.mapInArrow(compared, "a long, b long")))
+
+    found = _joined(named, links(blocks.withColumn("_inside", F.lit(False))))
+    if many:
+        found = stored(found)
+        rows = found.withColumn("key", F.explode(F.array(*keys))).join(large, F.col("key") == F.col("_bucket"))
+        found = _joined(found, links(outside_pairs(rows, F.lit(1), BLOCK)))
+    return found
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The pairs of a and b that differ, each once."""
+    apart = a != b
+    found = np.unique(np.stack([a[apart], b[apart]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a to b) that connect the same nodes: each a is linked to the least of its b alone, and its other b to that.
+
+    A node of a dense group has a link from each key, each to another node; the b are few, and so are their links. A list
+    holds no more than a node's keys and blocks.
+    """
+    listed = links.groupBy("a").agg(F.collect_set("b").alias("bs")).withColumn("least", F.array_min("bs"))
+    nodes = F.explode(F.concat(F.array("a"), "bs"))
+    return listed.select(nodes.alias("a"), F.col("least").alias("b")).where("a <> b")
+
+
+def _link_to_core(rows: np.ndarray, core: np.ndarray, at: np.ndarray, sets: Sets, radius: int) -> None:
+    """Links the classes (at, of sets) of the rows outside the core to the core's if one of their rows is within the
+    radius of one of the core's. A class that is linked already is asked no more."""
+    inside, outside = np.flatnonzero(core), np.flatnonzero(~core)
+    of, batch = planes(rows[inside]), max(1, min(64, (1 << 18) // -(-len(inside) // 64)))
+    while len(outside):
+        who, outside = outside[:batch], outside[batch:]
+        query, _ = query_matches(of, len(inside), rows[who], radius)
+        if len(query):
+            found = np.unique(at[who[query]])
+            sets.link(found, np.full(len(found), at[inside[0]]))
+            outside = outside[sets.root[at[outside]] != sets.root[at[inside[0]]]]
+
+
+def two_cuts(blocks: Column) -> Column:
+    """The groups of a row (node) whose key is cut into so many blocks: its blocks in two cuts. A dense group gives a class
+    in each block of the first cut, and those of the second connect these classes. A key of one block is one group."""
+    first, second = (F.pmod(F.xxhash64("node", F.lit(salt)), blocks) for salt in (1, 2))
+    return F.explode(F.when(blocks > 1, F.array(first, blocks + second)).otherwise(F.array(F.lit(0).cast("long"))))
+
+
+def outside_pairs(rows: DataFrame, size: Column, limit: int) -> DataFrame:
+    """Deals out the pairs of rows of a key that are left to compare when the rows' classes so far (root) are known.
+
+    Rows of a key's largest class, its core, are connected and don't meet again. The others meet each other as pairs of
+    blocks (_pair below zero) and each block of the core (_pair of zero or more; _inside tells its rows). Blocks have a
+    size of about `limit`. So a key whose rows are nearly all connected costs rows in proportion to it, and a key that is
+    one class none; any two rows of different classes share a group. rows has node, key and root.
+    """
+    parts = rows.groupBy("key", "root").agg(F.sum(size).alias("part"))
+    cores = parts.groupBy("key").agg(F.max(F.struct("part", "root")).alias("core"), F.sum("part").alias("whole"))
+    cores = stored(
+        cores.where(F.col("whole") > F.col("core.part")).select(
+            F.col("key").alias("_key"),
+            F.col("core.root").alias("_core"),
+            F.ceil(F.col("core.part") / limit).alias("_cores"),
+            F.ceil((F.col("whole") - F.col("core.part")) / limit).alias("_outs"),
+        )
     )
-    match = [F.col(w) == F.col(f"_{w}") for w in words]
-    return prints.join(named, match).drop(*[f"_{w}" for w in words])
+    few = cores.limit(BROADCAST + 1).count() <= BROADCAST
+    dealt = rows.join(F.broadcast(cores) if few else cores, F.col("key") == F.col("_key"))
+    inside, salt = F.col("root") == F.col("_core"), F.xxhash64("node", F.lit(3))
+    core, out = F.pmod(salt, F.col("_cores")), F.pmod(salt, F.col("_outs"))
+    outs = F.sequence(F.lit(0).cast("long"), F.col("_outs") - 1)
+    groups = F.when(inside, F.transform(outs, lambda i: i * F.col("_cores") + core)).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0).cast("long"), F.col("_cores") - 1), lambda j: out * F.col("_cores") + j),
+            F.transform(outs, lambda i: -1 - (F.least(i, out) * F.col("_outs") + F.greatest(i, out))),
+        )
+    )
+    return dealt.withColumn("_inside", inside).withColumn("_pair", F.explode(groups))
+
+
+def _joined(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """named, its roots replaced by those that roots (node, root) has for them."""
+    more = roots.select(F.col("node").alias("_of"), F.col("root").alias("_to"))
+    return named.join(more, F.col("root") == F.col("_of"), "left").withColumn("root", F.coalesce("_to", "root")).drop("_of", "_to")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[pa.Table]:
@@ -381,7 +478,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 60, text: str =
     coarse = stored(coarse.select(F.col("id").alias("node"), F.col("component_id").alias("key")))
     named = coarse.join(sets.select(F.col("set").alias("node"), "first.id", "first.tie", "size"), "node")
     totals = named.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1").drop("n")
-    roots = components(_verified(docs, named.join(totals, "key"), shingle, text, key))
+    roots = _verified(docs, stored(named.join(totals, "key")), shingle, text, key)
     classes = prints.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("root", "set"))
     id_, tie, k, h = free_names(docs.columns, "_id", "_tie", "_key", "_hash")
     stays = classes.groupBy("class").agg(first).select(F.col("first.id").alias(id_), F.col("first.tie").alias(tie))
@@ -409,42 +506,54 @@ def _set_prints(docs: DataFrame, shingle: int, words: int, text: str, key: str)
 
 
 def _verified(docs: DataFrame, members: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
-    """Links (a, b: nodes) of Jaccard similarity 0.8 or more within each key of members (node, key, total, and the id and
-    tie of a document of the node). A key of more than SET_BYTES of text (total) is dealt out as pairs of blocks."""
-    of = members.select("node", "key", "total", F.col("id").alias("_id"), F.col("tie").alias("_tie"))
+    """node and root: components of links of Jaccard similarity 0.8 or more within each key of members (node, key, size,
+    total, and the id and tie of a document of the node); nodes without links may be missing. A key of more than SET_BYTES
+    of text (total) is cut into blocks twice (two_cuts), and what these leave apart is compared across them (outside_pairs)."""
+    of = members.select("node", "key", "size", "total", F.col("id").alias("_id"), F.col("tie").alias("_tie"))
     texts = docs.select(id_key(key).alias("_key"), text_tie(text).alias("_hash"), F.col(text).alias("text"))
-    texts = texts.join(of, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_tie"))).select("node", "key", "total", "text")
-    dealt = block_pairs(texts, ["key"], F.xxhash64("node"), F.col("total"), SET_BYTES).select("key", "_pair", "node", "text")
+
+    def dealt(groups: DataFrame) -> DataFrame:
+        met = texts.join(groups, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_tie")))
+        return met.select("key", "_pair", "node", "root", "text").repartition("key", "_pair").sortWithinPartitions("key", "_pair")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_groups(batches, 1000):
-            key, pair, node = (part.column(c).to_numpy() for c in ("key", "_pair", "node"))
+            key, pair, node, root = (part.column(c).to_numpy() for c in ("key", "_pair", "node", "root"))
             edges = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-            links = [np.zeros((0, 2), np.int64)]
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
-                name, at = np.unique(node[a:b], return_index=True)  # repeated rows
-                if len(name) > 1:
+                _, at = np.unique(node[a:b], return_index=True)  # repeated rows
+                names, known = np.unique(root[a:b][at], return_inverse=True)
+                if len(names) > 1:
                     raw = part.column("text").slice(a, b - a).take(pa.array(at)).to_pylist()
-                    root = similar([np.unique(shingle_hashes(x.encode(), shingle)) for x in raw])
-                    other = np.flatnonzero(root != np.arange(len(root)))
-                    links.append(np.stack([name[other], name[root[other]]], axis=1))
-            found = np.concatenate(links)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-    return dealt.repartition("key", "_pair").sortWithinPartitions("key", "_pair").mapInArrow(compared, "a long, b long")
-
-
-def similar(sets: list[np.ndarray]) -> np.ndarray:
+                    first = similar([np.unique(shingle_hashes(x.encode(), shingle)) for x in raw], known)
+                    sets = Sets(len(names))
+                    sets.link(known, known[first])
+                    yield _links(names, names[sets.root])
+
+    blocks = F.greatest(F.ceil(F.col("total") / SET_BYTES), F.lit(1))
+    first = dealt(of.withColumn("root", F.col("node")).withColumn("_pair", two_cuts(blocks)))
+    roots = components(first.mapInArrow(compared, "a long, b long"))
+    large = of.where(F.col("total") > SET_BYTES)
+    if large.isEmpty():
+        return roots
+    large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = outside_pairs(stored(large), F.col("size"), SET_BYTES).drop("_key")
+    more = components(dealt(groups).mapInArrow(compared, "a long, b long"))
+    alone = more.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return _joined(roots.unionByName(alone), more)
+
+
+def similar(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
     """For sets of distinct hashes, none empty: the first set of each one's component of links of a Jaccard similarity of
     0.8 or more. Sets are sorted by size, so that those a set can be linked to follow it in a row; of these, the ones
-    that are connected to it already are left out."""
+    that are connected to it already are left out, as are those of one class of `known` (0 ...) from the start."""
     n = len(sets)
     order = np.argsort([len(x) for x in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order], np.int64)
     starts = np.concatenate([[0], np.cumsum(size)])
     names, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     until = np.searchsorted(4 * size, 5 * size, "right")
-    mark, root = np.zeros(len(names), bool), np.arange(n)
+    mark, root = np.zeros(len(names), bool), np.arange(n) if known is None else known[order]
     for i in range(n - 1):
         who = i + 1 + np.flatnonzero(root[i + 1 : until[i]] != root[i])
         if not len(who):

@@ -158,3 +158,105 @@ def test_similar_agrees_with_brute_force():
                 if 5 * len(np.intersect1d(a, sets[j])) >= 4 * len(np.union1d(a, sets[j])):
                     links.link(np.array([i]), np.array([j]))
         assert (simhash.similar(sets) == links.root).all()
+
+
+def signed(x):
+    return x.astype(np.uint64).view(np.int64).tolist()
+
+
+def counted(monkeypatch):
+    """The numbers of links that components() gets and of rows that outside_pairs() deals out."""
+    seen, pairs, outside = [], [], simhash.outside_pairs
+
+    def components_(links):
+        links = links.localCheckpoint()
+        seen.append(links.distinct().count())
+        return components(links)
+
+    def outside_(*args):
+        dealt = outside(*args).localCheckpoint()
+        pairs.append(dealt.count())
+        return dealt
+
+    monkeypatch.setattr(simhash, "components", components_)
+    monkeypatch.setattr(simhash, "outside_pairs", outside_)
+    return seen, pairs
+
+
+@pytest.mark.parametrize("block", [16_384, 32])
+def test_a_dense_group_does_not_emit_its_links_for_each_key_and_pair_of_blocks(spark, monkeypatch, block):
+    """Near copies that share many of 96 bands, and never the same ones: 30 links a row before, and 90 with pairs of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    seen, pairs = counted(monkeypatch)
+    rng = np.random.default_rng(2)
+    n = 500
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), n, axis=0)
+    bits ^= rng.random((n, 256)) < 0.06
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    rows = list(zip(range(n), [0] * n, *(signed(words[:, i].copy()) for i in range(4))))
+    prints = spark.createDataFrame(rows, "id long, tie long, w0 long, w1 long, w2 long, w3 long")
+    got = simhash.near_classes(prints, simhash.band_keys(4, 6), 60).collect()
+    assert len(got) == n and {r.component_id for r in got} == {0}
+    assert sum(seen) <= 12 * n
+    assert sum(pairs) <= 2 * n
+
+
+def test_blocks_and_contracted_links_lose_no_link(spark, monkeypatch):
+    """Dense groups with chains that leave them, and rows that are linked to a few rows of a dense group only."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(13)
+    values = []
+    for base in rng.integers(0, 2**64, 5, dtype=np.uint64):
+        values += [base ^ (np.uint64(1) << np.uint64(b)) for b in rng.integers(0, 64, 40)]
+        end = values[-1]
+        for _ in range(12):
+            for b in rng.choice(64, int(rng.integers(3, 6)), replace=False):
+                end ^= np.uint64(1) << np.uint64(b)
+            values.append(end)
+    values = np.unique(np.array(values, np.uint64))
+    prints = spark.createDataFrame([(i, 0, v) for i, v in enumerate(signed(values))], "id long, tie long, w0 long")
+    got = {r.id: r.component_id for r in simhash.near_classes(prints, simhash.pigeonhole_keys(4), 4).collect()}
+    want = linked_by_force(values[:, None], np.zeros(len(values), int), 4)
+    assert 8 < len(set(want.tolist())) < 70
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_rows_outside_the_largest_class_meet_all_others(spark):
+    rows = [(k, 100 * k + i, 100 * k + (0 if i < 60 else 60 if i < 70 else i)) for k in range(3) for i in range(20 * k + 40)]
+    frame = spark.createDataFrame(rows, "key long, node long, root long")
+    dealt = simhash.outside_pairs(frame, simhash.F.lit(1), 8).collect()
+    assert {r.key for r in dealt} == {2}  # the others are one class each
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.key, r._pair), []).append(r)
+        assert r._inside == (r.root == 200)
+    met = {(a.node, b.node) for g in groups.values() for a in g for b in g}
+    mine = [r for r in rows if r[0] == 2]
+    assert all((a[1], b[1]) in met for a in mine for b in mine if a[2] != b[2])
+    assert len(dealt) <= 60 * 3 + 20 * (8 + 3)
+
+
+def test_texts_of_a_large_class_are_compared_across_its_blocks(spark, monkeypatch):
+    """A template's pages, alike at 0.8 or more in a dense group and some small ones, in one coarse class of seven blocks of text."""
+    monkeypatch.setattr(simhash, "SET_BYTES", 24_000)
+    seen, pairs = counted(monkeypatch)
+    rng = random.Random(21)
+    template, rows, want = [f"t{i}" for i in range(150)], [], []
+    for g in range(12):
+        base = template + [f"g{g}.{k}" for k in range(60)]
+        want.append(len(rows))
+        for _ in range(160 if g == 0 else 3):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    links = simhash.Sets(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                links.link(np.array([i]), np.array([j]))
+    assert sorted(set(links.root.tolist())) == want
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == want
+    assert sum(seen[-2:]) <= 3 * len(rows)
+    assert len(rows) < pairs[-1] <= 4 * len(rows)  # 160 to two blocks of the 33 others, these to about 8; pairs of all blocks: 8 times the rows
